@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 #: about so many files the models are trained on, however large the table
 SAMPLE = 3_000
 #: calibrated score from which a value is a credential
-THRESHOLD = 0.5
+THRESHOLD = 0.4
 BLANK = "X"
 
 # fixed values: names that end like this hold secrets; prefixes of known issuers; stand-ins
@@ -52,7 +52,7 @@ _OPENED = re.compile(r"(?:\(\s*|(?:bytes\.fromhex|(?:base64\.)?b64decode|atob|Bu
 _LITERAL = re.compile(r"(?:[bruBRU]{0,2})(\"\"\"|'''|[\"'`])")
 _JOIN = re.compile(r"\s*(?:\+|\\|\.\.|&)?\s*(?:[bru]?)(?=[\"'`])")
 _BARE = re.compile(r"[^\s\"'`#,;{}()\[\]][^\s\"'`]*(?=[\"']?\s*,?\s*$)", re.M)
-_REMARK = re.compile(rf"(?i)(?:(?:^|\s)(?:#|//)|^\s*(?:;|\*|--|/\*))[^\n:=]{{0,80}}?\b((?:\w+[ _-])?{_SECRET.replace('_?', '[ _-]?')})\b[^\n:=(){{}}]{{0,40}}[:=]\s*([^\s(){{}}]+)\s*$")
+_REMARK = re.compile(rf"(?i)(?:(?:^|\s)(?:#|//)|^\s*(?:;|\*|--|/\*))[^\n:=]{{0,80}}?\b((?:\w+[ _-])?{_SECRET.replace('_?', '[ _-]?')})\b(?:[^\n:=(){{}}]{{0,40}}[:=]|\s+(?:is|was|were|ist|war|là))\s*([^\s(){{}}]+)\s*$")
 _COMMENT = re.compile(r"\s*(?:#|//|;|\*|--|<!--)")
 _CONFIG = re.compile(r"\.(?:ya?ml|json|ini|env|toml|cfg|conf|properties|xml|tf|npmrc)$|(?:^|/)\.[\w.-]+$")
 _CODE = re.compile(r"\.(?:py|js|swift)$")
@@ -227,7 +227,7 @@ def features(c: Candidate, path: str, ordinary: Markov, secret: Markov) -> list[
     for w in words[-3:]:
         bag[zlib.crc32(w.encode()) % _BUCKETS] = 1.0
     return [
-        odd - plain, plain, log(n), entropy / 6, digits, upper, signs, float(digits > 0 and digits + signs < 1),
+        odd - plain, plain, log(n), entropy / 6, digits, upper, signs, float(digits > 0 and any(x.isalpha() for x in v)), float(digits + signs < 1),
         float(bool(_STAND_IN.search(v))), float(bool(_CHECKSUM.search(v))), float(bool(_FILE.match(v)) and upper == 0), float(" " in v),
         float(bool(_NAME.search(c.name))), float(bool(_ISSUED.search(v))), float(bool(_CONFIG.search(path))), float(bool(_TRIAL.search(path))),
         *[float(c.place == p) for p in _PLACES], *bag,

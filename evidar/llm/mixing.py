@@ -105,13 +105,13 @@ def mix(records: DataFrame, targets: DataFrame, key: str = "doc_id", text: str =
     return turns.join(own, ["place", "number"]).select("slot", "source", F.col("key").alias(key), "use", "tokens")
 
 
-def shares(mixed: DataFrame, records: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def shares(mixed: DataFrame, targets: DataFrame, key: str = "doc_id") -> DataFrame:
     """Reached against target shares: one row per source of ``targets``.
 
     Columns: source, target_share, reached_share, tokens, records (distinct ones
     used), most_uses.  A source without records has 0 everywhere.
     """
-    per_record = mixed.groupBy("source", key).agg(F.count("*").alias("uses"), F.sum("tokens").alias("tokens"))
+    per_record = durable(mixed.groupBy("source", key).agg(F.count("*").alias("uses"), F.sum("tokens").alias("tokens")))
     got = per_record.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("records"), F.max("uses").alias("most_uses"))
     total = got.agg(F.sum("tokens")).first()[0] or 1
     wanted = targets.where("source is not null").groupBy("source").agg(F.max("share").alias("target_share"))

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import evaluation, graph, history, search, text
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+QUERIES = {**text.QUERIES, **search.QUERIES, **history.QUERIES, **graph.QUERIES, **evaluation.QUERIES}
+SQL = {**text.SQL, **search.SQL, **history.SQL, **graph.SQL, **evaluation.SQL}

@@ -64,6 +64,7 @@ def cosine(vectors: DataFrame, key: str, vector: str, is_query: Column, depth: i
 
     def best(batches):
         for batch in batches:
+            kind = batch.schema.field(0).type.value_type.field("id").type
             for asked_rows, all_rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 qi, ri = np.array([r["id"] for r in asked_rows]), np.array([r["id"] for r in all_rows])
                 score = np.round(np.array([r["v"] for r in asked_rows]) @ np.array([r["v"] for r in all_rows]).T, 9)
@@ -71,10 +72,10 @@ def cosine(vectors: DataFrame, key: str, vector: str, is_query: Column, depth: i
                 for i in range(len(qi)):
                     order = np.lexsort((ri, -score[i]))[:depth]
                     order = order[np.isfinite(score[i][order])]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(order), qi[i])), pa.array(ri[order]), pa.array(score[i][order])], ["query", "id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array([qi[i]] * len(order), kind), pa.array(ri[order], kind), pa.array(score[i][order])], ["query", "id", "score"])
 
-    kind = rows.schema["id"].dataType.simpleString()
-    found = spread.join(packed, "cell").select("asked", "rows").mapInArrow(best, f"query {kind}, id {kind}, score double")
+    id_type = rows.schema["id"].dataType.simpleString()
+    found = spread.join(packed, "cell").select("asked", "rows").mapInArrow(best, f"query {id_type}, id {id_type}, score double")
     return ranked(found, "query", [F.desc("score"), F.asc("id")], depth)
 
 

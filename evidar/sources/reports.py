@@ -1,0 +1,40 @@
+"""Reports from pages of a REST interface or CSV exports of a tracker."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from evidar.operators.graph import last_version
+
+PAGE = "number int, title string, body string, created_at string, html_url string, pull_request struct<url: string>, updated_at string"
+
+
+def from_pages(spark: SparkSession, path: str) -> DataFrame:
+    """(n, pr, title, body, created, url) of stored pages, each a JSON array; a report that comes again counts as updated last.
+
+    Null titles and bodies become empty; a report with the key ``pull_request`` is one.
+    """
+    rows = spark.read.schema(PAGE).option("multiLine", True).json(path).where("number is not null")
+    rows = rows.select(
+        F.col("number").alias("n"), F.col("pull_request").isNotNull().alias("pr"), F.coalesce("title", F.lit("")).alias("title"), F.coalesce("body", F.lit("")).alias("body"),
+        F.unix_timestamp(F.to_timestamp("created_at")).alias("created"), F.coalesce("html_url", F.lit("")).alias("url"), F.coalesce("updated_at", F.lit("")).alias("updated"),
+    )
+    return last_version(rows, ["n"], F.col("updated")).drop("updated")
+
+
+def from_csv(spark: SparkSession, path: str) -> DataFrame:
+    """(n, pr, title, body, created, url) of tracker exports with columns id, summary, description, created."""
+    rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    created = F.unix_timestamp(F.try_to_timestamp("created", F.lit("MMM d, yyyy, h:mm:ss a")))
+    return rows.where("id is not null").select(F.col("id").cast("int").alias("n"), F.lit(False).alias("pr"), F.coalesce("summary", F.lit("")).alias("title"), F.coalesce("description", F.lit("")).alias("body"), created.alias("created"), F.lit("").alias("url"))
+
+
+def limited(status: int, remaining: str | None, retry_after: str | None) -> bool:
+    """Whether an answer says that a client has used up its requests."""
+    return status == 429 or (status == 403 and (remaining == "0" or retry_after is not None))
+
+
+def backoff(attempt: int) -> int:
+    """Seconds to wait before the attempt after this one (from 0)."""
+    return min(60, 5 * 2**attempt)

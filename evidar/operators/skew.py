@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidar.tables import durable
+
 
 def lookup(big: DataFrame, small: DataFrame, keys: list[str], rows: str, share: int = 1000, least: int = 10_000) -> DataFrame:
     """Inner join of ``big`` with ``small``, which has one row per key and in ``rows`` how many rows of ``big`` the key has.
@@ -41,18 +43,25 @@ def greater_counts(df: DataFrame, keys: list[str], value: str, large: int = 50_0
     (1,024 of them, from a sketch of fixed size), so that no task gets a whole
     large group.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg((F.sum(weight) if weight else F.count("*")).alias("ties"))
-    cuts = ", ".join(str(i / 1024) for i in range(1, 1024))
-    edges = counts.groupBy(*keys).agg(F.count("*").alias("__n"), F.expr(f"percentile_approx(`{value}`, array({cuts}), 5000)").alias("__edges")).where(F.col("__n") > large)
-    edges = edges.select(*[F.col(k).alias(f"{k}__key") for k in keys], "__edges")
+    counts = durable(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg((F.sum(weight) if weight else F.count("*")).alias("ties")))
+    sizes = durable(counts.groupBy(*keys).agg(F.count("*").alias("__n")))
+    below = F.coalesce(F.sum("ties").over(Window.partitionBy(*keys).orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    if (sizes.agg(F.max("__n")).first()[0] or 0) <= large:  # every group fits a task
+        return counts.select(*keys, value, "ties", below.alias("greater"))
     on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{k}__key")) for k in keys])
+
+    def renamed(rows: DataFrame) -> DataFrame:
+        return rows.select(*[F.col(k).alias(f"{k}__key") for k in keys], *[c for c in rows.columns if c not in keys])
+
+    cuts = ", ".join(str(i / 1024) for i in range(1, 1024))
     # groups of more than ``large`` rows: few, but their number grows with the data, so it's left to the planner how to join
-    placed = counts.join(edges, on, "left").withColumn("__cell", F.coalesce(F.size(F.filter("__edges", lambda e: e <= F.col(value))), F.lit(0)))
-    placed = placed.drop("__edges", *[f"{k}__key" for k in keys])
+    big = counts.join(renamed(sizes.where(F.col("__n") > large)), on, "left_semi")
+    edges = durable(big.groupBy(*keys).agg(F.expr(f"percentile_approx(`{value}`, array({cuts}), 5000)").alias("__edges")))
+    placed = counts.join(renamed(edges), on, "left").withColumn("__cell", F.coalesce(F.size(F.filter("__edges", lambda e: e <= F.col(value))), F.lit(0)))
+    placed = durable(placed.select(*keys, value, "ties", "__cell"))
     cells = placed.groupBy(*keys, "__cell").agg(F.sum("ties").alias("__sum"))
     above = Window.partitionBy(*keys).orderBy(F.desc("__cell")).rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("__above", F.coalesce(F.sum("__sum").over(above), F.lit(0)))
-    cells = cells.select(*[F.col(k).alias(f"{k}__key") for k in keys], F.col("__cell").alias("__c"), "__above")
+    cells = renamed(cells.select(*keys, F.col("__cell").alias("__c"), F.coalesce(F.sum("__sum").over(above), F.lit(0)).alias("__above")))
     inside = Window.partitionBy(*keys, "__cell").orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, -1)
     return (
         placed.withColumn("__inside", F.coalesce(F.sum("ties").over(inside), F.lit(0)))
@@ -66,10 +75,14 @@ def medians(counted: DataFrame, keys: list[str], value: str, out: str) -> DataFr
     n = counted.groupBy(*keys).agg(F.sum("ties").alias("__n"))
     n = n.select(*[F.col(k).alias(f"{k}__key") for k in keys], "__n")
     on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{k}__key")) for k in keys])
-    at = counted.join(n, on).drop(*[f"{k}__key" for k in keys])
+    return counted.join(n, on).groupBy(*keys).agg(median_of(value, "__n").alias(out))
+
+
+def median_of(value: str, total: str) -> Column:
+    """The median as an aggregate over distinct values with ``ties`` and ``greater``; ``total`` is their number with repeats."""
 
     def holds(position):
         return (F.col("greater") <= position) & (position < F.col("greater") + F.col("ties"))
 
-    lower, upper = F.expr("(__n - 1) div 2"), F.expr("__n div 2")
-    return at.groupBy(*keys).agg(((F.max(F.when(holds(lower), F.col(value))) + F.max(F.when(holds(upper), F.col(value)))) / 2).alias(out))
+    lower, upper = F.expr(f"({total} - 1) div 2"), F.expr(f"{total} div 2")
+    return (F.max(F.when(holds(lower), F.col(value))) + F.max(F.when(holds(upper), F.col(value)))) / 2

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidar.operators.skew import greater_counts, lookup, medians
+from evidar.operators.skew import greater_counts, lookup, median_of
 from evidar.tables import durable
 
 #: the scores of each section and their weights
@@ -24,13 +24,13 @@ _CLIP = 30.0
 
 
 def fused(cand: DataFrame, weights: dict[str, dict[str, float]] | None = None) -> DataFrame:
-    """One row per distinct candidate: n, section, id, the scores, ``combined`` and the rank in its report, and ``best_tenth``.
+    """One row per distinct candidate: n, section, id, the scores, ``combined`` and ``best_tenth``; ``ranked`` adds the ranks.
 
     Repeated rows count once; rows that differ in a score are candidates of their
     own.  A null score is left out of the mean; a candidate without any score has a
-    null ``combined`` and ranks last.  Where the deviation is 0 (more than half of
+    null ``combined``.  Where the deviation is 0 (more than half of
     the group equal) the scale is the mean absolute deviation, and 1 if that is 0
-    too.  Equal means share a rank.  ``best_tenth`` says whether fewer than
+    too.  ``best_tenth`` says whether fewer than
     ceil(m / 10) of the m candidates of the same n and section have a greater
     value, for every score of the section; with a null among them it is false.
     Candidates of a section without weights are dropped; NaN counts as null.
@@ -40,35 +40,28 @@ def fused(cand: DataFrame, weights: dict[str, dict[str, float]] | None = None) -
     rows = cand.where(F.col("section").isin(*weights)).select(
         "n", "section", "id", *[F.when(~F.isnan(c), F.col(c).cast("double")).alias(c) for c in names]
     ).distinct()
-    rows = durable(rows.withColumn("row", F.xxhash64("n", "section", "id", *names)))
+    rows = durable(rows)
     used = reduce(lambda a, b: a.unionByName(b), [
         rows.where(F.col("section").isin(*[s for s, w in weights.items() if name in w])).select("n", "section", F.lit(name).alias("name"), F.col(name).alias("value"))
         for name in names
     ])
     keys = ["n", "section", "name"]
     counted = durable(greater_counts(used, keys, "value"))
-    middle = medians(counted, keys, "value", "median")
-    size = rows.groupBy("n", "section").agg(F.count("*").alias("rows"))
-    limits = (
-        counted.join(size.select(F.col("n").alias("n_"), F.col("section").alias("s_"), "rows"), F.col("n").eqNullSafe(F.col("n_")) & (F.col("section") == F.col("s_")))
-        .groupBy(*keys).agg(F.min(F.when(F.col("greater") < F.ceil(F.col("rows") / 10), F.col("value"))).alias("limit"))
-    )
-    off = lookup(counted, middle.join(counted.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.count("*").alias("rows")),
-                                      reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])).drop(*[f"_{k}" for k in keys]), keys, "rows")
-    off = off.select(*keys, F.abs(F.col("value") - F.col("median")).alias("off"), F.col("ties"))
-    mean_off = off.groupBy(*keys).agg((F.sum(F.col("off") * F.col("ties")) / F.sum("ties")).alias("mean_off"))
-    # one row per distinct value again stands for its ties
-    deviation = medians(_weighted_greater(off, keys), keys, "off", "mad")
-    same = reduce(lambda a, b: a & b, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys])
-    stats = middle.alias("a").join(deviation.alias("b"), same).select("a.*", "b.mad")
-    stats = stats.alias("a").join(mean_off.alias("b"), same).select("a.*", "b.mean_off")
-    stats = stats.alias("a").join(limits.alias("b"), same, "left").select("a.*", "b.limit")
+    size = durable(rows.groupBy("n", "section").agg(F.count("*").alias("rows")))
+    # per group of scores: how many values, how many distinct ones, how many candidates
+    totals = counted.groupBy(*keys).agg(F.sum("ties").alias("total"), F.count("*").alias("values"))
+    totals = durable(_beside(totals, size, ["n", "section"]).withColumnRenamed("rows", "candidates"))
+    placed = lookup(counted, totals, keys, "values")
+    limit = F.min(F.when(F.col("greater") < F.ceil(F.col("candidates") / 10), F.col("value")))
+    stats = durable(placed.groupBy(*keys).agg(median_of("value", "total").alias("median"), limit.alias("limit"), F.max("total").alias("total"), F.count("*").alias("values")))
+    off = lookup(counted, stats, keys, "values").select(*keys, F.abs(F.col("value") - F.col("median")).alias("off"), "ties")
+    spread = durable(greater_counts(off, keys, "off", weight="ties"))
+    again = durable(_beside(spread.groupBy(*keys).agg(F.count("*").alias("values")), stats.select(*keys, "total"), keys))
+    spread = lookup(spread, again, keys, "values").groupBy(*keys).agg(median_of("off", "total").alias("mad"), (F.sum(F.col("off") * F.col("ties")) / F.sum("ties")).alias("mean_off"))
+    stats = _beside(stats, spread, keys)
     scale = F.when(F.col("mad") > 0, F.col("mad") * _NORMAL).when(F.col("mean_off") > 0, F.col("mean_off") * 1.2533).otherwise(F.lit(1.0))
-    wide = stats.groupBy("n", "section").agg(*[
-        F.max(F.when(F.col("name") == name, F.struct("median", scale.alias("scale"), "limit"))).alias(f"of_{name}") for name in names
-    ])
-    wide = size.alias("a").join(wide.alias("b"), F.col("a.n").eqNullSafe(F.col("b.n")) & (F.col("a.section") == F.col("b.section")), "left").select("a.*", *[f"b.of_{x}" for x in names])
-    full = lookup(rows, wide, ["n", "section"], "rows")
+    wide = stats.groupBy("n", "section").agg(*[F.max(F.when(F.col("name") == name, F.struct("median", scale.alias("scale"), "limit"))).alias(f"of_{name}") for name in names])
+    full = lookup(rows, durable(_beside(size, wide, ["n", "section"])), ["n", "section"], "rows")
 
     def bounded(name):
         z = (F.col(name) - F.col(f"of_{name}.median")) / F.col(f"of_{name}.scale")
@@ -85,15 +78,22 @@ def fused(cand: DataFrame, weights: dict[str, dict[str, float]] | None = None) -
     best = F.lit(False)
     for section, of in weights.items():
         best = F.when(F.col("section") == section, reduce(lambda a, b: a & b, [F.coalesce(F.col(x) >= F.col(f"of_{x}.limit"), F.lit(False)) for x in of])).otherwise(best)
-    full = durable(full.select("n", "section", "id", *names, "row", F.when(whole > 0, F.round(F.exp(logs / whole), 9)).alias("combined"), best.alias("best_tenth")))
+    full = durable(full.select("n", "section", "id", *names, F.when(whole > 0, F.round(F.exp(logs / whole), 9)).alias("combined"), best.alias("best_tenth")))
+    return full
+
+
+def ranked(full: DataFrame) -> DataFrame:
+    """Adds ``rank`` in the report to the result of ``fused``: 1 for the greatest ``combined``; equal ones share a rank, nulls are last."""
     ranks = greater_counts(full, ["n"], "combined")
     count = full.groupBy("n").agg(F.count("combined").alias("scored"))
     sizes = full.groupBy("n", "combined").agg(F.count("*").alias("rows"))
-    place = sizes.alias("a").join(ranks.alias("b"), F.col("a.n").eqNullSafe(F.col("b.n")) & (F.col("a.combined") == F.col("b.combined")), "left").select("a.*", "b.greater")
-    place = place.alias("a").join(count.alias("b"), F.col("a.n").eqNullSafe(F.col("b.n"))).select("a.n", "a.combined", "a.rows", (F.coalesce("a.greater", "b.scored") + 1).alias("rank"))
-    return lookup(full, place, ["n", "combined"], "rows").select("n", "section", "id", *names, "combined", F.col("rank").cast("bigint").alias("rank"), "best_tenth")
+    place = _beside(_beside(sizes, ranks.select("n", "combined", "greater"), ["n", "combined"]), count, ["n"])
+    place = durable(place.select("n", "combined", "rows", (F.coalesce("greater", "scored") + 1).cast("bigint").alias("rank")))
+    return lookup(full, place, ["n", "combined"], "rows")
 
 
-def _weighted_greater(df: DataFrame, keys: list[str]) -> DataFrame:
-    """``greater_counts`` of rows that stand for ``ties`` rows each."""
-    return greater_counts(df, keys, "off", weight="ties")
+def _beside(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join on keys of which some may be null; both sides have one row per key, or the right has."""
+    other = right.select(*[F.col(k).alias(f"{k}__key") for k in keys], *[c for c in right.columns if c not in keys])
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{k}__key")) for k in keys])
+    return left.join(other, on, "left").drop(*[f"{k}__key" for k in keys])

@@ -58,7 +58,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_ranking(spark: SparkSession, d: str) -> DataFrame:
-    return fusion.fused(read(spark, d, "cand")).select("n", "section", "id", F.round("combined", 6).alias("combined"), "rank")
+    return fusion.ranked(fusion.fused(read(spark, d, "cand"))).select("n", "section", "id", F.round("combined", 6).alias("combined"), "rank")
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

@@ -36,7 +36,11 @@ _SECRET = (
     r"|auth_?key|master_?key|account_?key|credentials?|authorization)"
 )
 _NAME = re.compile(rf"(?i)(?<![A-Za-z0-9])(?:[A-Za-z_][\w.-]*?)?{_SECRET}(?![A-Za-z0-9_-])")
-_NEEDED = re.compile(rf"(?i){_SECRET}|://[^\s/]*:[^\s/]*@|\b(?:bearer|basic) [a-z0-9]|-u \S+:|--user|login|\.save\(|private key-----|akia|asia|gh[pousr]_|glpat-|[sr]k_live_|xox[abp]-|eyj\w")
+#: in lower case: a line without any of these holds no candidate
+_NEEDED = (
+    "pass", "pwd", "pw", "secret", "token", "key", "credential", "authorization", "://", "bearer ", "basic ", "-u ", "--user", "login", "log_in", "sign_in", "signin", "authenticate", "connect(",
+    ".save(", ".store(", ".add(", ".set(", "akia", "asia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "glpat-", "k_live_", "xoxa-", "xoxb-", "xoxp-", "eyj",
+)
 _ISSUED = re.compile(
     r"(?<![A-Za-z0-9_/+-])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{30,}|glpat-[\w-]{18,}|[sr]k_live_[A-Za-z0-9]{16,}|xox[abp]-[\w-]{20,}"
     r"|eyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{8,})(?![A-Za-z0-9_/+=-])"
@@ -112,6 +116,22 @@ def _indented(text: str, joined: re.Match) -> bool:
     return text[start: joined.end()].isspace() and text[before: joined.start()].lstrip()[:1] in "\"'`"
 
 
+def _lines(text: str) -> set[tuple[int, int]]:
+    """Begin and end of the lines in which something may stand."""
+    low = text.lower()
+    if len(low) != len(text):  # some letters change their length
+        low = text
+    lines = set()
+    for word in _NEEDED:
+        at = low.find(word)
+        while at >= 0:
+            end = low.find("\n", at)
+            end = len(low) if end < 0 else end
+            lines.add((low.rfind("\n", 0, at) + 1, end))
+            at = low.find(word, end)
+    return lines
+
+
 def candidates(text: str, path: str) -> list[Candidate]:
     """Values that stand where a secret may stand, in the order of their places."""
     found: dict[int, Candidate] = {}
@@ -126,16 +146,13 @@ def candidates(text: str, path: str) -> list[Candidate]:
         for m in _BLOCK.finditer(text):
             taken.append(m.span())
             add(m.group(), [m.span()], "private_key", "block")
-    lines: set[int] = set()
-    for m in _NEEDED.finditer(text):
-        lines.add(text.rfind("\n", 0, m.start()) + 1)
-    for start in sorted(lines):
+    for start, end in sorted(_lines(text)):
         if any(a <= start < b for a, b in taken):
             continue
-        end = text.find("\n", start)
-        end = len(text) if end < 0 else end
         line = text[start:end]
         remark = bool(_COMMENT.match(line))
+        if not (config or remark or '"' in line or "'" in line or "`" in line or "#" in line or "//" in line or line.rstrip().endswith(("(", "=", "\\"))):
+            continue
         for m in _USERINFO.finditer(line):
             add(m.group(2), [(start + m.start(2), start + m.end(2))], m.group(1), "address")
         for m in _SCHEME.finditer(line):
@@ -244,11 +261,11 @@ class Model:
             (held if zlib.crc32(path.encode()) % 4 == 0 else fit).extend(r for r in rows if r[2] is not None)
         self.ordinary = Markov([c.value for c, _, y in fit if y == 0])
         self.secret = Markov([c.value for c, _, y in fit if y == 1])
-        x = np.array([self._row(c, p) for c, p, _ in fit]).reshape(len(fit), -1)
         y = np.array([r[2] for r in fit], float)
         self.ready = 0 < y.sum() < len(y)
         if not self.ready:
             return
+        x = np.array([self._row(c, p) for c, p, _ in fit])
         self.mean, self.scale = x.mean(0), x.std(0) + 1e-6
         self.weights = self._solve(self._matrix(x), y, 1.0)
         # Platt scaling on the files held out
@@ -320,8 +337,6 @@ def scan(nodes: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD, s
         for batch in batches:
             ids, lines, texts = [], [], []
             for i, path, text in zip(*(c.to_pylist() for c in batch.columns)):
-                if not _NEEDED.search(text):
-                    continue
                 found = candidates(text, path)
                 if not found:
                     continue

@@ -37,6 +37,7 @@ _TOKEN = (
 _FAST = re.compile(f"({_SKIP})({_TOKEN})")
 _LITERAL = re.compile(r"/(?![*/])(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/[A-Za-z]*")
 _NUMBER = re.compile(r"(?:0[xX][\da-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|(?:\d[\d_]*)?\.?\d*[\d_]*(?:[eE][+-]?\d[\d_]*)?)n?\Z|\d[\d_]*\.(?:[eE][+-]?\d+)?\Z")
+_STRING = re.compile(r'"(?:[^"\\\n]|\\[\s\S])*"' r"|'(?:[^'\\\n]|\\[\s\S])*'")
 _IDENT = re.compile(r"[\w$]+\Z")
 _OPEN, _CLOSE = "([{", ")]}"
 _PAIR = {")": "(", "]": "[", "}": "{"}
@@ -96,25 +97,41 @@ class _Tokens:
         self.holes = holes
 
 
+def _hole_end(text: str, i: int) -> int:
+    """End of the hole whose first character is at i, strings and templates inside it skipped; -1 if it has none."""
+    depth = 1
+    while i < len(text):
+        c = text[i]
+        if c == "`":
+            i = _template_end(text, i)
+            if i < 0:
+                return -1
+            continue
+        if c in "\"'":
+            m = _STRING.match(text, i)
+            if not m:
+                return -1
+            i = m.end()
+            continue
+        depth += {"{": 1, "}": -1}.get(c, 0)
+        i += 1
+        if not depth:
+            return i
+    return -1
+
+
 def _template_end(text: str, i: int) -> int:
     """End of the template that begins at i, with nested ones inside its holes; -1 if it has none."""
     i += 1
     while i < len(text):
-        c = text[i]
-        if c == "\\":
+        if text[i] == "\\":
             i += 2
-        elif c == "`":
+        elif text[i] == "`":
             return i + 1
-        elif c == "$" and text[i + 1: i + 2] == "{":
-            depth, i = 1, i + 2
-            while i < len(text) and depth:
-                if text[i] == "`":
-                    i = _template_end(text, i)
-                    if i < 0:
-                        return -1
-                    continue
-                depth += {"{": 1, "}": -1}.get(text[i], 0)
-                i += 1
+        elif text.startswith("${", i):
+            i = _hole_end(text, i + 2)
+            if i < 0:
+                return -1
         else:
             i += 1
     return -1
@@ -147,15 +164,11 @@ def _holes(template: str) -> list[str]:
         if template[i] == "\\":
             i += 2
         elif template.startswith("${", i):
-            depth, j = 1, i + 2
-            while j < len(template) and depth:
-                if template[j] == "`":
-                    j = _template_end(template, j)
-                    continue
-                depth += {"{": 1, "}": -1}.get(template[j], 0)
-                j += 1
-            out.append(template[i + 2: j - 1])
-            i = j
+            end = _hole_end(template, i + 2)
+            if end < 0:
+                raise Wrong
+            out.append(template[i + 2: end - 1])
+            i = end
         else:
             i += 1
     return out

@@ -53,7 +53,7 @@ def components(steps: DataFrame, nodes: DataFrame) -> DataFrame:
         label = durable(new.select("a", F.col("n").alias("c")))
 
 
-def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 8, levels: int = 3) -> DataFrame:
+def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 6, levels: int = 3) -> DataFrame:
     """(id, community): a partition of the nodes with an edge; a community is named by its least member and is connected."""
     steps = durable(undirected(edges))
     total = steps.agg(F.sum("w")).first()[0]

@@ -37,7 +37,7 @@ def fix_recency(units: DataFrame, at: int | None = None) -> DataFrame:
 
 def message_scores(queries: DataFrame, units: DataFrame, query_key: str) -> DataFrame:
     """(query, h, cos): cosine of query and commit text under tf-idf of the commits, where positive."""
-    post = index.postings(units.withColumn("text", F.coalesce("msg", F.lit(""))), ["h"], F.col("text"))
+    post = durable(index.postings(units.withColumn("text", F.coalesce("msg", F.lit(""))), ["h"], F.col("text")))
     df, count = index.frequencies(post), units.count()
     docs = index.tfidf(post, df, ["h"], count)
     asked = index.tfidf(index.postings(queries, [query_key], F.col("text")), df, [query_key], count)
@@ -51,11 +51,12 @@ def message_rank(queries: DataFrame, units: DataFrame, listed: DataFrame, elemen
     best rank of its elements in ``listed`` (query, key, rank).  Ties go to the newer
     commit, then by hash.
     """
-    fit = units.join(eligible(units, elements).select("h"), "h", "left_semi")
+    fit = durable(units.join(eligible(units, elements).select("h"), "h", "left_semi").select("h", "t", "msg", "touch"))
     touched = touches(fit)
     text = ranked(message_scores(queries, fit, query_key).join(fit.select("h", "t"), "h"), query_key, [F.desc("cos"), F.desc("t"), F.asc("h")])
     near = touched.join(listed.select(query_key, "key", "rank"), "key").groupBy(query_key, "h").agg(F.min("rank").alias("best"), F.max("t").alias("t"))
     near = ranked(near, query_key, [F.asc("best"), F.desc("t"), F.asc("h")])
+    # what a commit scores is one row per query and commit with a common term
     scored = text.select(query_key, "h", "rank").unionByName(near.select(query_key, "h", "rank")).groupBy(query_key, "h").agg(F.sum(1.0 / (RRF_K + F.col("rank"))).alias("s"))
     best = scored.join(touched.select("h", "key"), "h").join(elements.select("key"), "key", "left_semi").groupBy(query_key, "key").agg(F.round(F.max("s"), 9).alias("score"))
     return ranked(best, query_key, [F.desc("score"), F.asc("key")], depth)
@@ -71,7 +72,7 @@ def locus(queries: DataFrame, hunks: DataFrame, units: DataFrame, names: DataFra
     count = hunks.count()
 
     def side(terms, allowed):
-        post = index.postings(hunks, ["hunk"], F.col("text"), terms)
+        post = durable(index.postings(hunks, ["hunk"], F.col("text"), terms))
         asked = index.postings(queries, [query_key], F.col("text"), terms)
         if allowed:
             post, asked = post.join(names, "term", "left_semi"), asked.join(names, "term", "left_semi")
@@ -86,14 +87,13 @@ def locus(queries: DataFrame, hunks: DataFrame, units: DataFrame, names: DataFra
     )
     both = natural.withColumnRenamed("score", "nl").join(code.withColumnRenamed("score", "ce"), [query_key, "hunk"], "full").join(alpha, query_key)
     both = both.select(query_key, "hunk", (F.coalesce("nl", F.lit(0.0)) + F.col("alpha") * F.coalesce("ce", F.lit(0.0))).alias("s"))
-    best = both.join(hunks.select("hunk", F.explode("ids").alias("key")), "hunk").groupBy(query_key, "key").agg(F.max("s").alias("best"))
-    fix = fix_recency(units)
+    best = durable(both.join(hunks.select("hunk", F.explode("ids").alias("key")), "hunk").groupBy(query_key, "key").agg(F.max("s").alias("best")))
+    fix = durable(fix_recency(units))
     # of elements with fixes only, no more than depth can be in a list: the best 2 * depth suffice
-    top = ranked(fix.join(elements.select("key"), "key", "left_semi").withColumn("all", F.lit(0)), "all", [F.desc("fix"), F.asc("key")], 2 * depth).agg(F.collect_list(F.struct("key", "fix")).alias("top")).first()[0]
-    spare = queries.select(query_key).distinct()
-    if top:
-        spare = spare.select(query_key, F.explode(F.array(*[F.struct(F.lit(r["key"]).alias("key"), F.lit(float(r["fix"])).alias("fix")) for r in top])).alias("x")).select(query_key, F.col("x.key").alias("key"))
-        best = best.unionByName(spare.join(best, [query_key, "key"], "left_anti").withColumn("best", F.lit(0.0)))
+    top = ranked(fix.join(elements.select("key"), "key", "left_semi").withColumn("one", F.lit(1)), "one", [F.desc("fix"), F.asc("key")], 2 * depth)
+    spare = top.groupBy("one").agg(F.collect_list("key").alias("keys"))  # one row that holds 2 * depth keys
+    more = queries.select(query_key).distinct().withColumn("one", F.lit(1)).join(spare, "one").select(query_key, F.explode("keys").alias("key"))
+    best = best.unionByName(more.join(best, [query_key, "key"], "left_anti").withColumn("best", F.lit(0.0)))
     full = best.join(elements.select("key"), "key", "left_semi").join(fix, "key", "left")
     full = full.select(query_key, "key", F.round(F.col("best") + BETA * F.coalesce("fix", F.lit(0.0)), 9).alias("score")).where("score > 0")
     return ranked(full, query_key, [F.desc("score"), F.asc("key")], depth)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidar.functions.text import closed_reports, pr_of
+from evidar.tables import durable
 
 from . import index
 from .rank import DEPTH, ranked
@@ -34,13 +35,13 @@ def fixed_elements(links: DataFrame, units: DataFrame) -> DataFrame:
 
 
 def similar_reports(queries: DataFrame, reports: DataFrame, query_key: str) -> DataFrame:
-    """(query, n, sim): cosine under smoothed tf-idf between a query and every report with a common term, itself left out."""
+    """(query, doc, sim): cosine under smoothed tf-idf between a query and every report with a common term, itself left out."""
     docs = reports.select(F.col("n").alias("doc"), "text")
-    post = index.postings(docs, ["doc"], F.col("text"))
+    post = durable(index.postings(docs, ["doc"], F.col("text")))
     df, count = index.frequencies(post), docs.count()
     asked = index.tfidf(index.postings(queries, [query_key], F.col("text")), df, [query_key], count, smooth=True)
     found = index.dot(asked, index.tfidf(post, df, ["doc"], count, smooth=True), [query_key, "doc"])
-    return found.where(F.col(query_key) != F.col("doc")).select(query_key, F.col("doc").alias("n"), F.round("score", 9).alias("sim")) if query_key != "n" else found.where(F.col("n") != F.col("doc")).select("n", "doc", F.round("score", 9).alias("sim"))
+    return found.where(F.col(query_key) != F.col("doc")).select(query_key, "doc", F.round("score", 9).alias("sim"))
 
 
 def simi_score(similar: DataFrame, fixed: DataFrame, elements: DataFrame, query_key: str, doc_key: str, depth: int = DEPTH) -> DataFrame:

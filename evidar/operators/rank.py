@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidar.tables import durable
+
 from . import index
 
 #: constant of reciprocal rank fusion, depth of lists
@@ -29,7 +31,7 @@ def bm25(queries: DataFrame, docs: DataFrame, query_key: str, doc_key: str, dept
     Both inputs have (key, text).  Documents no query term is in have a score of 0
     and fill a list that would be shorter.  A term repeated in a query counts as often.
     """
-    post = index.postings(docs, [doc_key], F.col("text"))
+    post = durable(index.postings(docs, [doc_key], F.col("text")))
     count = docs.count()
     length = post.groupBy(doc_key).agg(F.sum("tf").alias("dl"))
     average = (length.agg(F.sum("dl")).first()[0] or 0) / max(1, count)
@@ -38,12 +40,16 @@ def bm25(queries: DataFrame, docs: DataFrame, query_key: str, doc_key: str, dept
     weights = post.join(length, doc_key).join(idf, "term").select(doc_key, "term", (F.col("idf") * F.col("tf") * (index.K1 + 1) / (F.col("tf") + norm)).alias("w"))
     wanted = index.postings(queries, [query_key], F.col("text")).select(query_key, "term", F.col("tf").cast("double").alias("w"))
     hit = index.dot(wanted, weights, [query_key, doc_key]).withColumn("score", F.round("score", 9))
-    top = ranked(hit, query_key, [F.desc("score"), F.asc(doc_key)], depth, out="place")
-    # the first 2 * depth documents hold enough that a list of fewer than depth hits doesn't have
-    spare = docs.select(doc_key).orderBy(doc_key).limit(2 * depth).agg(F.sort_array(F.collect_list(doc_key)).alias("ids")).first()[0]
-    short = queries.select(query_key).distinct().join(hit.where("score >= 0").groupBy(query_key).agg(F.count("*").alias("hits")), query_key, "left").where(F.coalesce("hits", F.lit(0)) < depth)
-    fill = short.select(query_key, F.explode(F.array(*[F.lit(x) for x in spare]) if spare else F.array().cast("array<string>")).alias(doc_key)).join(hit, [query_key, doc_key], "left_anti")
-    both = top.select(query_key, doc_key, "score").unionByName(fill.withColumn("score", F.lit(0.0)))
+    top = durable(ranked(hit, query_key, [F.desc("score"), F.asc(doc_key)], depth, out="place").select(query_key, doc_key, "score"))
+    # scores are never negative, so a list of fewer than depth hits has them all; the first
+    # 2 * depth documents hold enough that it doesn't have
+    short = durable(queries.select(query_key).distinct().join(top.groupBy(query_key).agg(F.count("*").alias("hits")), query_key, "left").where(F.coalesce("hits", F.lit(0)) < depth))
+    both = top
+    if not short.isEmpty():
+        # one row that holds 2 * depth ids
+        spare = docs.select(doc_key).orderBy(doc_key).limit(2 * depth).agg(F.sort_array(F.collect_list(doc_key)).alias("ids")).withColumn("one", F.lit(1))
+        fill = short.select(query_key, F.lit(1).alias("one")).join(spare, "one").select(query_key, F.explode("ids").alias(doc_key)).join(top, [query_key, doc_key], "left_anti")
+        both = top.unionByName(fill.withColumn("score", F.lit(0.0)))
     return ranked(both, query_key, [F.desc("score"), F.asc(doc_key)], depth)
 
 

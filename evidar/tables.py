@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,3 +25,26 @@ def durable(df: DataFrame) -> DataFrame:
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="evidar-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared checkpoint folder, for results larger than their input.
+
+    Columns are compressed and can be read one by one, unlike those of a
+    checkpoint.  The table is removed when the program ends.
+    """
+    session = df.sparkSession
+    context = session.sparkContext
+    folder = session.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="evidar-tables-")
+    path = f"{folder.rstrip('/')}/evidar-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_remove, session, path)
+    return session.read.parquet(path)
+
+
+def _remove(session: SparkSession, path: str) -> None:
+    try:
+        place = session._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(session._jsc.hadoopConfiguration()).delete(place, True)
+    except Exception:  # the session may have ended; then the folder is the cluster's to clear
+        pass

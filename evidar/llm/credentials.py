@@ -327,10 +327,11 @@ def scan(nodes: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD, s
     Rows of any label whose source has at least one credential; null sources have
     none.  A key block counts on its first line, a value in several parts on the
     line of the first.  A repeated row is found as often as it comes.  The path is
-    ``file``, else ``name``.
+    ``file``, else the second part of the id, else ``name``.
     """
     model = nodes.sparkSession.sparkContext.broadcast(train(nodes, sample))
-    rows = nodes.where(F.col("source").isNotNull()).select("id", F.coalesce("file", "name", F.lit("")).alias("path"), "source")
+    path = F.coalesce("file", F.get(F.split("id", ":"), 1), "name", F.lit(""))
+    rows = nodes.where(F.col("source").isNotNull()).select("id", path.alias("path"), "source")
 
     def run(batches):
         judge = model.value

@@ -59,13 +59,13 @@ def verdict(node_id: str, label: str, path: str, text: str) -> str:
 
 
 def _path() -> Column:
-    return F.coalesce("file", "name")
+    return F.coalesce("file", F.get(F.split("id", ":"), 1), "name")
 
 
 def checked(nodes: DataFrame, all_rows: bool = True) -> DataFrame:
     """One row per Module and Function of a language with a grammar: id, label, repo, lang, verdict.
 
-    ``lang`` is the language the file ending claims (``file``, else ``name``); rows
+    ``lang`` is the language the file ending claims (of ``file``, else of the id's path, else of ``name``); rows
     with other endings, without source or of other labels have none.  An element
     indexed several times gives several rows; an empty source is valid Python, a
     valid script and a valid Swift file.  With ``all_rows`` false only the rows

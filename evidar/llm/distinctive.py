@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidar.operators.skew import lookup
-from evidar.tables import durable
+from evidar.tables import stored
 
 #: places within which two terms are neighbours
 WINDOW = 3
@@ -82,9 +82,9 @@ def scores(recs: DataFrame, window: int = WINDOW) -> DataFrame:
     degree * ln(records / df), 0 for a term that all records have or that stands
     alone.  Records without terms have no rows; an empty table gives none.
     """
-    recs = durable(recs)
     count = max(1, recs.count())
-    found = durable(postings(recs, window))
+    # more rows than the input has words would be read three times: written once, column by column
+    found = stored(postings(recs, window))
     df = found.groupBy("term").agg(F.count("*").alias("df"))
     df = df.withColumn("rows", F.col("df"))
     joined = lookup(found, df, ["term"], "rows")

@@ -2,7 +2,7 @@
 
 A text is cut into segments (lines, and sentences in them).  For every pair of
 neighbouring words the pointwise mutual information comes from the occurrences of
-the pair and of each word in the whole corpus, without the document itself.  A segment is stuffing if its pairs mean little to one another
+the pair and of each word in the whole corpus, without the document itself and its copies.  A segment is stuffing if its pairs mean little to one another
 (word salad), if most of them are collocations the document repeats although the
 corpus hardly knows them, or if it is made of links or tags.  A document is
 reported if such segments hold more than half of its characters.  Documents whose
@@ -10,7 +10,8 @@ pairs, links and separators could not make up a good part of their characters ar
 settled without cutting them up.
 
 The counts are kept in two tables of fixed size, one counter per hash of a word or
-pair, so that they may be broadcast; every document of the corpus is counted.
+pair, so that they may be broadcast; every distinct text of the corpus is counted
+once, since the copies of a page are no evidence for it.
 """
 
 from __future__ import annotations
@@ -264,7 +265,7 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     """
     rows = docs.where(docs[text].isNotNull()).select(docs[key].alias("key"), docs[text].alias("text"))
     # no more than 2^WORD_BITS + 2^PAIR_BITS rows, whatever the size of the corpus
-    found = counts(rows.select("text")).toPandas()
+    found = counts(rows.select("text").distinct()).toPandas()
     table = np.zeros((1 << WORD_BITS) + (1 << PAIR_BITS), np.int32)
     table[found["slot"].to_numpy()] = np.minimum(found["n"].to_numpy(), 2**31 - 1)
     shared = docs.sparkSession.sparkContext.broadcast(table)

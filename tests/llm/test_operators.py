@@ -227,6 +227,18 @@ def test_stuffed_pages(spark):
     assert stuffing.scored(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
 
+def test_copies_do_not_vouch_for_a_stuffed_page(spark):
+    r = random.Random(7)
+    noun = [f"{a}{b}" for a in ("tar", "lin", "mor", "pel", "sud", "vek") for b in ("an", "et", "is", "or")]
+    prose = lambda n: " ".join("The {} keeps every {} until the {} asks for it again.".format(*(r.choice(noun) for _ in range(3))) for _ in range(n))
+    keys = ", ".join(r.choice(["cheap tarin pelor", "free tarin pelor", "sudet vekis online", "sudet vekis"]) for _ in range(40)).replace(",", "")
+    salad = " ".join(r.choice(noun) for _ in range(60))
+    copied = prose(6)
+    rows = [(i, prose(8)) for i in range(120)] + [(1000 + i, keys) for i in range(100)] + [(2000 + i, salad) for i in range(20)] + [(3000 + i, copied) for i in range(60)]
+    got = stuffing.scored(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert {x.doc_id for x in got.where("found").collect()} == {i for i, t in rows if t in (keys, salad)} and got.count() == len(rows)
+
+
 def test_segments_are_the_whole_text():
     r = random.Random(1)
     for _ in range(200):

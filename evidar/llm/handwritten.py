@@ -49,6 +49,7 @@ _TRANSPILED = re.compile(r"""Object\.defineProperty\(exports, ["']__esModule["']
 _FOLDER = re.compile(r"(?:^|/)(?:node_modules|bower_components|vendor|_vendor|vendored|third_party|thirdparty|third-party|deps|site-packages)/")
 _BUILT = re.compile(r"[.-]min\.js$|\.bundle\.js$|-[0-9a-f]{8}\.js$|_pb2(?:_grpc)?\.py$")
 _TERMS = re.compile(r"(?i)\(c\) \d{4} the \w+ (?:contributors|authors)|redistribution (?:and use )?(?:is )?permitted|licensed under the|permission is hereby granted")
+_OPENING = re.compile(r"""\s*[rRuU]?(?:\"{3}[\s\S]*?\"{3}|'{3}[\s\S]*?'{3})""")
 _COMMENT = re.compile(r"\s*(?:#|//|/\*|\*|<!--)")
 _TOKEN = re.compile(r"[A-Za-z_$]\w*|\d+(?:\.\d+)?|[^\w\s]")
 _WORD = re.compile(r"\w+")
@@ -60,19 +61,45 @@ _KEYWORD = frozenset(
 _SHAPE = re.compile(r"\w+")
 
 
+def _edges(lines: list[str]) -> tuple[int, int]:
+    """Where the leading comment lines end and the trailing ones begin; blank lines and whole block comments are among them."""
+    a, b = 0, len(lines)
+    while a < b and (not lines[a].strip() or _COMMENT.match(lines[a])):
+        x, end = lines[a].strip(), a
+        if x.startswith("/*") and "*/" not in x:
+            end = next((i for i in range(a + 1, b) if "*/" in lines[i]), a)
+            if not (_COMMENT.match(lines[end]) or lines[end].rstrip().endswith("*/")):
+                end -= 1  # code follows on its last line
+        a = end + 1
+    while b > a:
+        x, begin = lines[b - 1].strip(), b - 1
+        if x.endswith("*/") and "/*" not in x:
+            i = next((i for i in range(b - 2, a - 1, -1) if "/*" in lines[i] or "*/" in lines[i]), a)
+            if i < b - 1 and lines[i].strip().startswith("/*") and "*/" not in lines[i]:
+                begin = i
+        if begin == b - 1 and x and not _COMMENT.match(lines[b - 1]):
+            break
+        b = begin
+    return a, b
+
+
 def notice(text: str) -> bool:
-    """Whether a comment among the first lines is a notice that a tool wrote the file."""
-    for line in text[:2000].split("\n")[:8]:
-        if _COMMENT.match(line) and not line.lstrip().startswith("#!") and _NOTICE.search(line):
-            return True
-        if line.strip() and not _COMMENT.match(line):
-            return False
-    return False
+    """Whether the leading or trailing comment lines hold a notice that a tool wrote the file."""
+    lines = text.split("\n")
+    a, b = _edges(lines)
+    return any(_NOTICE.search(x) and not x.lstrip().startswith("#!") for x in lines[:a] + lines[b:])
 
 
 def copy_notice(text: str) -> bool:
-    """Whether the first lines name another project's version and terms."""
-    return bool(_TERMS.search(text[:1500]))
+    """Whether the leading or trailing comment lines name another project's version and terms.
+
+    So may a string that opens the file, or what follows a directive or import in its first 1,500 characters.
+    """
+    lines = text.split("\n")
+    a, b = _edges(lines)
+    head = "\n".join(lines[:a]) + "\n" if a else ""
+    opening = _OPENING.match(text, len(head))
+    return any(_TERMS.search(x) for x in (text[:1500], head, opening.group() if opening else "", "\n".join(lines[b:])))
 
 
 def weak_label(path: str, text: str, copied: float) -> int | None:
@@ -97,11 +124,7 @@ def _squeezed(text: str) -> bool:
 def features(text: str) -> list[float]:
     """The numbers the forest reads; comment lines at the top and bottom are left out of all of them."""
     lines = text.split("\n")
-    a, b = 0, len(lines)
-    while a < b and (not lines[a].strip() or _COMMENT.match(lines[a])):
-        a += 1
-    while b > a and (not lines[b - 1].strip() or _COMMENT.match(lines[b - 1])):
-        b -= 1
+    a, b = _edges(lines)
     lines = lines[a:b]
     body = "\n".join(lines)
     size = max(1, len(body))

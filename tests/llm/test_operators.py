@@ -203,6 +203,24 @@ def test_generated_files(spark):
     assert not handwritten.notice("# The helpers below write the generated files, they are not generated themselves.\nx") and not handwritten.notice("const B = '/* generated by x, do not edit */';")
 
 
+def test_notices_in_footers_and_below_long_headers(spark):
+    made, terms = "This file was produced by the envelope compiler; changes will be lost.", "Copyright (c) 2020 the panel contributors"
+    body = "def f(x):\n    return x + 1\n" * 90
+    header = "".join(f"# line {k} of a licence that goes on for a long while before it ends\n" for k in range(60))
+    block = "/*\n" + header.replace("# ", "") + "%s\n*/\n"
+    texts = {"footer": (body + "\n# %s\n", ".py"), "header": (header + "# %s\n" + body, ".py"), "block": (block + "const a = 1;\n", ".js"), "end": ("const a = 1;\n" + block, ".js")}
+    for shape, suffix in texts.values():
+        assert handwritten.notice(shape % made) and handwritten.weak_label("a" + suffix, shape % made, 0.0) == 1
+        assert handwritten.copy_notice(shape % terms) and handwritten.weak_label("a" + suffix, shape % terms, 0.0) is None
+        assert not handwritten.notice(shape % "Some words.") and handwritten.features(shape % made) == handwritten.features(shape % "Some words.")
+    assert handwritten.copy_notice(f'"""{header}{terms}"""\n{body}')
+    for text in (f"{body}# {made}\n{body}", f"/* a\n b */ const c = 1;\n// {made}\nd();\n", f"const a = [\n  '{made}',\n];\n"):
+        assert not handwritten.notice(text)
+    rows = [(f"p:{name}{suffix}", "Module", f"{name}{suffix}", shape % made) for name, (shape, suffix) in texts.items()]
+    upstream = spark.createDataFrame([], "lib string, version string, path string, source string")
+    assert handwritten.judged(nodes(spark, rows), upstream).where("generated").count() == 4
+
+
 def test_forest_on_held_out_rows():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(600, 5))

@@ -2,8 +2,8 @@
 
 The text is cut into tokens, every token becomes one character, and a recursive
 descent parser reads that string.  Statements that end in a semicolon and blocks
-are remembered by their characters: programs repeat few shapes, so most of them
-are looked up instead of parsed.  Scopes are not followed (a name declared twice
+are remembered by their characters and what surrounds them: programs repeat few shapes, so most of them
+are looked up instead of parsed.  Those with labels or jumps to them are always parsed, since characters don't tell names.  Scopes are not followed (a name declared twice
 passes); everything the grammar itself forbids is an error.
 """
 
@@ -57,7 +57,7 @@ class Wrong(Exception):
 
 
 class _Tokens:
-    __slots__ = ("k", "nl", "holes")
+    __slots__ = ("k", "nl", "holes", "pairs")
 
     def __init__(self, text: str):
         if text.startswith("#!"):
@@ -94,7 +94,7 @@ class _Tokens:
                 break
         self.k = "".join(kinds)
         self.nl = "".join(["1" if "\n" in s or " " in s else "0" for s, _ in pairs[: len(kinds)]])
-        self.holes = holes
+        self.holes, self.pairs = holes, pairs
 
 
 def _hole_end(text: str, i: int) -> int:
@@ -183,7 +183,7 @@ _expressions: dict[str, bool] = {}
 class _Parser:
     def __init__(self, text: str):
         t = _Tokens(text)
-        self.k, self.nl = t.k, t.nl
+        self.k, self.nl, self.pairs = t.k, t.nl, t.pairs
         if _BAD in self.k:
             raise Wrong
         for h in t.holes:
@@ -203,6 +203,9 @@ class _Parser:
             raise Wrong
         self.cover = -1
         self.fn = self.loop = self.switch = 0
+        #: open labels, and whether each is a loop's; labels and jumps to them read so far
+        self.labels: dict[str, bool] = {}
+        self.named = 0
         self.no_in = False
 
     # ---- helpers: every method takes a position and returns the one after what it read
@@ -303,16 +306,17 @@ class _Parser:
         end = self.match[i]
         key = (k[i + 1: end], self.nl[i + 1: end], self.fn > 0, self.loop > 0, self.switch > 0)
         if key not in _blocks:
-            saved, self.no_in = self.no_in, False
+            saved, self.no_in, named = self.no_in, False, self.named
             j = i + 1
             while j < end:
                 j = self.statement(j, True)
             self.no_in = saved
             if j != end:
                 raise Wrong
-            if len(_blocks) > _LIMIT:
-                _blocks.clear()
-            _blocks.add(key)
+            if named == self.named:
+                if len(_blocks) > _LIMIT:
+                    _blocks.clear()
+                _blocks.add(key)
         return end + 1
 
     def statement(self, i: int, declare: bool = False) -> int:
@@ -327,13 +331,14 @@ class _Parser:
         if 0 < end < i + 60:
             key = k[i: end + 1]
             if "{" not in key or self.balanced(i, end):
-                key += self.nl[i + 1: end + 1] + ("f" if self.fn else "") + ("l" if self.loop else "") + ("d" if declare else "")
+                key += self.nl[i + 1: end + 1] + ("f" if self.fn else "") + ("l" if self.loop else "") + ("s" if self.switch else "") + ("d" if declare else "")
                 if key in _statements:
                     return end + 1
             else:
                 key = ""
+        named = self.named
         j = self.slow_statement(i, c, declare)
-        if key and j == end + 1:
+        if key and j == end + 1 and named == self.named:
             if len(_statements) > _LIMIT:
                 _statements.clear()
             _statements.add(key)
@@ -381,6 +386,10 @@ class _Parser:
         if c == W["break"] or c == W["continue"]:
             i += 1
             if k[i] in _NAMES and self.nl[i] == "0":
+                self.named += 1
+                label = self.pairs[i][1]
+                if label not in self.labels or (c == W["continue"] and not self.labels[label]):
+                    raise Wrong
                 return self.semi(i + 1)
             if not self.loop and not (c == W["break"] and self.switch):
                 raise Wrong
@@ -406,7 +415,16 @@ class _Parser:
         if c == W["with"]:
             return self.statement(self.paren(i + 1))
         if (c in _NAMES) and k[i + 1] == ":":
-            return self.statement(i + 2, declare)
+            self.named += 1
+            label, j = self.pairs[i][1], i + 2
+            if label in self.labels:
+                raise Wrong
+            while k[j] in _NAMES and k[j + 1] == ":":
+                j += 2
+            self.labels[label] = k[j] in (W["for"], W["while"], W["do"])
+            i = self.statement(i + 2, declare)
+            del self.labels[label]
+            return i
         return self.semi(self.expression(i))
 
     def body(self, i: int) -> int:
@@ -560,10 +578,10 @@ class _Parser:
 
     def code(self, i: int) -> int:
         """A function's body."""
-        saved = self.fn, self.loop, self.switch
-        self.fn, self.loop, self.switch = 1, 0, 0
+        saved = self.fn, self.loop, self.switch, self.labels
+        self.fn, self.loop, self.switch, self.labels = 1, 0, 0, {}
         i = self.block(i)
-        self.fn, self.loop, self.switch = saved
+        self.fn, self.loop, self.switch, self.labels = saved
         return i
 
     def function(self, i: int, named: bool) -> int:

@@ -51,6 +51,17 @@ def test_blocks_seen_before_change_nothing():
         assert parses("javascript", "for (;;) { continue; }") and not parses("javascript", "if (x) { continue; }")
 
 
+def test_jumps_need_their_target_whatever_was_read_before():
+    js = lambda text: parses("javascript", text)
+    for _ in range(2):
+        assert js("switch (x) { case 1: y(); break; default: break; }") and not js("y();\nbreak;\n") and not js("if (x) break;")
+        assert not js("switch (x) { case 1: continue; }") and js("for (;;) switch (x) { case 1: continue; }")
+        assert js("a: for (;;) { for (;;) { continue a; } }") and js("a: { f(); break a; }") and js("a: b: while (x) { continue a; }")
+        for text in ("break a;", "for (;;) { break b; }", "a: for (;;) { continue b; }", "a: { continue a; }", "a: for (;;) { } break a;", "a: for (;;) { f(function () { break a; }); }", "a: { a: f(); }"):
+            assert not js(text), text
+        assert js("a: f(); a: g();") and js("a: { f(() => { a: for (;;) break a; }); }") and js("for (;;) { break\na; }")
+
+
 def test_members_and_python():
     assert parses("javascript", "  async f(a) { return a; }", member=True) and not parses("javascript", "  async f(a) { return a; }")
     assert parses("python", "    def f(self):\n        return 1\n", alone=True) and not parses("python", "    def f(self):\n        return 1\n")

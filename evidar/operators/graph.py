@@ -11,10 +11,23 @@ from evidar.tables import durable
 
 
 def last_version(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
-    """One row per key: the version with the greatest ``order``; of equal ones the greatest row."""
+    """One row per key: the version with the greatest ``order``; of equal ones the greatest row.
+
+    Only keys and ``order`` are aggregated over all rows.  Rows of a key that comes
+    once pass as they are; the others are compared, of the columns ``df`` has.  So
+    take the columns that are wanted before.  Null keys are one key.
+    """
     rest = [c for c in df.columns if c not in keys]
-    newest = df.groupBy(*keys).agg(F.max(F.struct(order.alias("order__"), *rest)).alias("x"))
-    return newest.select(*keys, *[F.col(f"x.{c}").alias(c) for c in rest]).select(*df.columns)
+    rows = df.withColumn("order__", order)
+    seen = rows.groupBy(*[F.col(k).alias(f"{k}__key") for k in keys]).agg(F.count("*").alias("times__"), F.max("order__").alias("newest__")).where("times__ > 1")
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{k}__key")) for k in keys])
+    marked = rows.join(seen, on, "left")
+    single = marked.where("times__ is null").select(*df.columns)
+    if not rest:
+        return single.unionByName(marked.where("times__ is not null").select(*df.columns).distinct())
+    again = marked.where("times__ is not null").where(F.col("order__").eqNullSafe(F.col("newest__")))
+    newest = again.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("x__"))
+    return single.unionByName(newest.select(*keys, *[F.col(f"x__.{c}").alias(c) for c in rest]).select(*df.columns))
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

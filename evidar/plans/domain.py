@@ -16,11 +16,13 @@ from evidar.tables import read
 CODE = ("Module", "Class", "Function")
 
 
-def nodes(spark: SparkSession, d: str) -> DataFrame:
-    """Code elements, newest version; ``file`` falls back to the name."""
+def nodes(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Code elements, newest version, with the columns asked for, else with all; ``file`` falls back to the name of a module."""
     rows = read(spark, d, "node").where(F.col("label").isin(*CODE))
-    rows = last_version(rows, ["id"], F.col("indexed_at"))
-    return rows.withColumn("file", F.coalesce("file", F.when(F.col("label") == "Module", F.col("name"))))
+    names = [c for c in (columns or rows.columns) if c not in ("id", "indexed_at")]
+    file = F.coalesce("file", F.when(F.col("label") == "Module", F.col("name"))).alias("file")
+    rows = rows.select("id", *[file if c == "file" else c for c in names], "indexed_at")
+    return last_version(rows, ["id"], F.col("indexed_at")).select("id", *names, *[] if columns else ["indexed_at"])
 
 
 def elements(spark: SparkSession, d: str) -> DataFrame:

@@ -25,12 +25,12 @@ def python_edges(spark, d):
 
 
 def _modules(spark, d):
-    return domain.nodes(spark, d).where("label = 'Module' and file like '%.py'").select("file", "source")
+    return domain.nodes(spark, d, "label", "file", "source").where("label = 'Module' and file like '%.py'").select("file", "source")
 
 
 def doc_links(spark, d):
     """Elements that passages name, by the first form that exists."""
-    return docs.resolve(read(spark, d, "chunk"), domain.nodes(spark, d))
+    return docs.resolve(read(spark, d, "chunk"), domain.nodes(spark, d, "label", "name", "file"))
 
 
 def doc_passages(spark, d):

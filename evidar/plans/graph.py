@@ -29,7 +29,7 @@ def _seeds(spark, d):
 
 
 def label_counts(spark, d):
-    return domain.nodes(spark, d).groupBy("label").agg(F.count("*").alias("nodes"))
+    return domain.nodes(spark, d, "label").groupBy("label").agg(F.count("*").alias("nodes"))
 
 
 def edge_counts(spark, d):
@@ -48,7 +48,7 @@ def doc_coverage(spark, d):
     """Share of functions and classes that documentation describes, per label."""
     chunks = read(spark, d, "chunk").select(F.col("id").alias("chunk")).distinct()
     told = read(spark, d, "doc_edge").join(chunks, "chunk", "left_semi").select(F.col("target").alias("id")).distinct().withColumn("told", F.lit(1))
-    rows = domain.nodes(spark, d).where("label <> 'Module'").join(told, "id", "left")
+    rows = domain.nodes(spark, d, "label").where("label <> 'Module'").join(told, "id", "left")
     return rows.groupBy("label").agg(F.count("*").alias("elements"), F.sum(F.coalesce("told", F.lit(0))).cast("bigint").alias("documented"), F.round(F.sum(F.coalesce("told", F.lit(0))) / F.count("*"), 6).alias("coverage"))
 
 
@@ -97,7 +97,7 @@ def bounded_sssp(spark, d):
 def kg_rank(spark, d):
     """Elements near a report's list, by closeness and by edit distance of their names to the name at the head of the list."""
     near = graph.shortest(_seeds(spark, d), _weighted(spark, d), "n", 1.25)
-    names = domain.nodes(spark, d).where("label <> 'Module'").select("id", "name")
+    names = domain.nodes(spark, d, "label", "name").where("label <> 'Module'").select("id", "name")
     head = search.hybrid(spark, d).where("rank = 1").select("n", "id").join(names.withColumnRenamed("name", "head"), "id").select("n", "head")
     rows = near.join(names, "id").join(head, "n")
     alike = 1 - F.levenshtein("name", "head") / F.greatest(F.length("name"), F.length("head"))
@@ -117,7 +117,7 @@ def doc_votes(spark, d):
 def file_votes(spark, d):
     """Votes for files: 3 for an element of the list, 1 for one next to it."""
     ball = graph.ball(_seeds(spark, d), graph.both_ways(_real(spark, d)), "n", 1)
-    files = domain.nodes(spark, d).where("file is not null").select("id", "file")
+    files = domain.nodes(spark, d, "file").where("file is not null")
     return ball.join(files, "id").groupBy("n", "file").agg(F.sum(F.when(F.col("hop") == 0, 3).otherwise(1)).cast("bigint").alias("votes"))
 
 
@@ -136,17 +136,17 @@ def incremental_antijoin(spark, d):
 
 def narrowest_interval(spark, d):
     """The innermost function or class that a call stands in, by file and line."""
-    files = domain.nodes(spark, d).select("id", "file")
+    files = domain.nodes(spark, d, "file")
     points = domain.calls(spark, d).where("line is not null").join(files.withColumnRenamed("id", "source"), "source").select("file", "line").distinct()
-    spans = domain.nodes(spark, d).where("label <> 'Module' and start_line is not null and end_line is not null and file is not null").select("id", "file", F.col("start_line").alias("start"), F.col("end_line").alias("end"))
+    spans = domain.nodes(spark, d, "label", "file", "start_line", "end_line").where("label <> 'Module' and start_line is not null and end_line is not null and file is not null").select("id", "file", F.col("start_line").alias("start"), F.col("end_line").alias("end"))
     return diff.narrowest(points, spans).select("file", F.col("line").cast("bigint").alias("line"), "id")
 
 
 def uncovered_lines(spark, d):
     """Calls that stand in no function or class of their file."""
-    files = domain.nodes(spark, d).select("id", "file")
+    files = domain.nodes(spark, d, "file")
     points = domain.calls(spark, d).where("line is not null").join(files.withColumnRenamed("id", "source"), "source").where("file is not null").select("file", "line").distinct()
-    spans = domain.nodes(spark, d).where("label <> 'Module' and start_line is not null and end_line is not null").select("id", "file", F.col("start_line").alias("start"), F.col("end_line").alias("end"))
+    spans = domain.nodes(spark, d, "label", "file", "start_line", "end_line").where("label <> 'Module' and start_line is not null and end_line is not null").select("id", "file", F.col("start_line").alias("start"), F.col("end_line").alias("end"))
     return points.join(diff.narrowest(points, spans).select("file", "line"), ["file", "line"], "left_anti").select("file", F.col("line").cast("bigint").alias("line"))
 
 

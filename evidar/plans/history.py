@@ -38,7 +38,7 @@ def locus_full(spark, d):
     """Commits as hunks: words of the message, names of code in it, and recency of fixes."""
     units = domain.units(spark, d)
     hunks = units.select(F.col("h").alias("hunk"), F.array_distinct(F.coalesce("touch", F.array().cast("array<string>"))).alias("ids"), F.coalesce("msg", F.lit("")).alias("text"))
-    names = domain.nodes(spark, d).where("label <> 'Module'").select(F.col("name").alias("term")).distinct()
+    names = domain.nodes(spark, d, "label", "name").where("label <> 'Module'").select(F.col("name").alias("term")).distinct()
     codes = lambda t: F.regexp_extract_all(t, F.lit("[A-Za-z_][A-Za-z0-9_]*"), 0)
     found = history.locus(domain.prompts(spark, d), hunks, units, names, domain.keys(spark, d), "n", tokenize_code, codes)
     return found.select(F.col("n").cast("bigint").alias("n"), "key", six("score").alias("score"), F.col("rank").cast("bigint").alias("rank"))

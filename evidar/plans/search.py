@@ -59,14 +59,14 @@ def rrf_fuse(spark, d):
 
 
 def file_rank(spark, d):
-    files = domain.nodes(spark, d).select("id", "file").where("file is not null")
+    files = domain.nodes(spark, d, "file").where("file is not null")
     return rank.file_rank(hybrid(spark, d), files, "n", "id").select("n", "file", *[F.col(c).cast("bigint").alias(c) for c in ("position", "best_pos")], "best_id")
 
 
 def find_entities(spark, d):
     """Names in a report that are names of functions or classes, or ends of module paths; 30 a report."""
     names = domain.prompts(spark, d).select("n", F.explode(identifiers(F.col("text"))).alias("name")).distinct()
-    nodes = domain.nodes(spark, d).select("id", "label", "name", "file")
+    nodes = domain.nodes(spark, d, "label", "name", "file")
     code = nodes.where("label <> 'Module'").select("id", "label", "name", F.lit(0).alias("how"))
     paths = nodes.where("label = 'Module' and file is not null").select("id", "label", F.explode(rank.suffixes(F.col("file"))).alias("name"), F.lit(1).alias("how"))
     hits = names.join(code.unionByName(paths), "name")

@@ -20,7 +20,7 @@ def node_text():
 
 
 def code_texts(spark, d):
-    return domain.nodes(spark, d).select("id", node_text().alias("text"))
+    return domain.nodes(spark, d, "label", "name", "file", "source").select("id", node_text().alias("text"))
 
 
 def tokenize(spark, d):
@@ -49,12 +49,12 @@ def cited_items(spark, d):
 
 
 def qualified(spark, d):
-    rows = domain.nodes(spark, d).select("id", "file")
+    rows = domain.nodes(spark, d, "file")
     return rows.select("id", X.qualified(F.col("id")).alias("qualified"), X.key_of(F.col("id")).alias("key"), X.module_name(F.col("file")).alias("module"), X.directory(F.col("file")).alias("directory"))
 
 
 def kept_files(spark, d):
-    return domain.nodes(spark, d).where("label = 'Module'").select("file").distinct().where(X.kept_path(F.col("file")))
+    return domain.nodes(spark, d, "label", "file").where("label = 'Module'").select("file").distinct().where(X.kept_path(F.col("file")))
 
 
 def clipped(spark, d):

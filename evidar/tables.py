@@ -14,17 +14,56 @@ def read(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
+def shared_folder(session: SparkSession) -> str:
+    """The folder that all executors share, as ``spark.checkpoint.dir`` of the session names it.
+
+    Without one a session that runs on this machine alone, as in tests, gets a
+    temporary folder; any other raises ``RuntimeError``, since a folder of one
+    machine is lost with it.
+    """
+    context = session.sparkContext
+    folder = session.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if folder:
+        return folder.rstrip("/")
+    master = context.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"spark.checkpoint.dir must name a shared folder when the master is {master}")
+    folder = tempfile.mkdtemp(prefix="evidar-")
+    context._conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
 def durable(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read back from there.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only a
-    session without one, as in tests, gets a temporary folder.
+    ``release`` deletes what was written; the rest is deleted when the program ends.
     """
     context = df.sparkSession.sparkContext
+    folder = shared_folder(df.sparkSession)
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="evidar-checkpoint-"))
-    return df.checkpoint(eager=True)
+        context.setCheckpointDir(folder)
+    kept = df.checkpoint(eager=True)
+    path = _place(kept)
+    if path:
+        atexit.register(_remove, df.sparkSession, path)
+    return kept
+
+
+def release(*frames: DataFrame) -> None:
+    """Deletes the files of results of ``durable`` that nothing will read any more."""
+    for df in frames:
+        path = _place(df)
+        if path:
+            _remove(df.sparkSession, path)
+
+
+def _place(df: DataFrame) -> str | None:
+    """Where the rows of a checkpointed table lie; None for any other table."""
+    try:
+        found = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        return found.get() if found.isDefined() else None
+    except Exception:  # a plan of another kind has no such rows
+        return None
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -34,9 +73,7 @@ def stored(df: DataFrame) -> DataFrame:
     checkpoint.  The table is removed when the program ends.
     """
     session = df.sparkSession
-    context = session.sparkContext
-    folder = session.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="evidar-tables-")
-    path = f"{folder.rstrip('/')}/evidar-{uuid.uuid4().hex}"
+    path = f"{shared_folder(session)}/evidar-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, session, path)
     return session.read.parquet(path)

@@ -2,44 +2,46 @@
 
 A text is cut into segments (lines, and sentences in them).  For every pair of
 neighbouring words the pointwise mutual information comes from the occurrences of
-the pair and of each word in the whole corpus, without the document itself and its copies.  A segment is stuffing if its pairs mean little to one another
-(word salad), if most of them are collocations the document repeats although the
-corpus hardly knows them, or if it is made of links or tags.  A document is
-reported if such segments hold more than half of its characters.  Documents whose
-pairs, links and separators could not make up a good part of their characters are
-settled without cutting them up.
-
-The counts are kept in two tables of fixed size, one counter per hash of a word or
-pair, so that they may be broadcast; every distinct text of the corpus is counted
-once, since the copies of a page are no evidence for it.
+the pair and of each word in the whole corpus, without the document itself and its
+copies.  A segment is stuffing if its pairs mean little to one another (word salad),
+if most of them are collocations the document repeats although the corpus hardly
+knows them, or if it is made of links or tags.  A document is reported if such
+segments hold more than half of its characters.
+
+The counts are exact (words and pairs are told apart by hashes of 64 bits) and stay
+distributed.  Distinct texts are put into blocks of about equal size; a block states
+how often it has each word and pair, the sums over all blocks go back to the blocks
+that have them, and a block's texts are judged with its own part of the counts.  So
+no table of the corpus is broadcast or collected, whatever its vocabulary, and every
+document is judged.  Copies of a text count once and are judged once.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
-import zlib
 from collections import Counter
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidar.operators.skew import lookup
 from evidar.tables import durable
 
-#: counters for words and for pairs (powers of two); 4 bytes each when broadcast
-WORD_BITS, PAIR_BITS = 18, 22
-#: a segment whose pairs have a lower mean is word salad, if it has so many pairs
-SALAD, SALAD_PAIRS = 1.9, 4
+#: bytes of text in a block
+BLOCK_BYTES = 8 << 20
+#: a segment whose pairs have a lower mean is word salad, if it has so many pairs and this share of them come together no more often than chance would have it
+SALAD, SALAD_PAIRS, ODD = 1.9, 4, 0.1
 #: a pair found so often in one document, but elsewhere with a smaller share of all words, is a repeated collocation
 REPEATED, COMMON = 3, 2e-5
 #: share of repeated pairs that makes a segment stuffing
 STUFFED = 0.34
 #: lines of fewer words, if no sentence ends there, are read together
 SHORT = 6
-#: guessed share of stuffing from which a document is cut up
-SCREEN = 0.22
 #: share of the characters that makes a document stuffing
 MOST = 0.5
 
@@ -63,10 +65,10 @@ _FENCE = re.compile(r"\s*(?:```|~~~)")
 
 
 class _Ids(dict):
-    """A hash of each word, kept."""
+    """A hash of each word, kept; 0 is kept for the number of all words."""
 
     def __missing__(self, word: str) -> int:
-        h = self[word] = zlib.crc32(word.encode("utf-8", "replace")) * 0x9E3779B1 & 0xFFFFFFFF
+        h = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace")) | 1
         return h
 
 
@@ -100,7 +102,7 @@ def _hashes(text: str) -> np.ndarray:
 
 
 def words(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of texts in lower case, and the text of each.
+    """Hashes of the words of texts in lower case, and which text each is in.
 
     Words are runs of letters, and single characters of scripts without spaces.
     """
@@ -113,127 +115,132 @@ def words(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return hashed[~cut], owner
 
 
-def _by_script(texts: list[str]) -> list[list[int]]:
-    """Positions of texts in ASCII, which are read faster, and of the others."""
+def _batches(texts: list[str]) -> list[list[int]]:
+    """Positions of texts to be read together: those in ASCII, which are read faster, and the others, up to 512 KB each."""
     kinds: list[list[int]] = [[], []]
     for i, t in enumerate(texts):
         kinds[not t.isascii()].append(i)
-    return [k for k in kinds if k]
+    out = []
+    for kind in kinds:
+        size = 1 << 30
+        for i in kind:
+            if size > 1 << 19:
+                out.append([])
+                size = 0
+            out[-1].append(i)
+            size += len(texts[i])
+    return out
 
 
-def _pairs(w: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Slots of neighbouring words of a segment, and which words they begin at."""
-    at = np.flatnonzero(owner[:-1] == owner[1:]) if len(w) > 1 else np.empty(0, np.int64)
-    slots = (w[at] * np.uint64(0x9E3779B97F4A7C15) + w[at + 1] * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(64 - PAIR_BITS)
-    return slots.astype(np.int64), at
+def _pairs(w: np.ndarray) -> np.ndarray:
+    """A hash of every two words that follow one another; even, as those of words are odd."""
+    with np.errstate(over="ignore"):
+        mixed = w[:-1] * np.uint64(0x9E3779B97F4A7C15) + (w[1:] ^ (w[1:] >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F)
+        mixed ^= mixed >> np.uint64(32)
+    return mixed & ~np.uint64(1) | np.uint64(2)
 
 
-def _word_slot(w: np.ndarray) -> np.ndarray:
-    return ((w * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - WORD_BITS)).astype(np.int64)
+def _bare(text: str) -> str:
+    return _URL.sub(" ", text) if "://" in text or "www." in text else text
 
 
-def counts(texts: DataFrame) -> DataFrame:
-    """(slot, n): occurrences per slot; words first, then pairs from 2^WORD_BITS on.  ``texts`` has one column."""
+def _tally(keys: list[np.ndarray], ns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sums per key."""
+    key, back = np.unique(np.concatenate(keys), return_inverse=True)
+    return key, np.bincount(back, np.concatenate(ns), len(key)).astype(np.int64)
 
-    def run(batches):
-        table = np.zeros((1 << WORD_BITS) + (1 << PAIR_BITS), np.int64)
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for kind in _by_script(texts):
-                for start in range(0, len(kind), 256):
-                    w, owner = words([texts[i] for i in kind[start: start + 256]])
-                    for slots in (_word_slot(w), _pairs(w, owner)[0] + (1 << WORD_BITS)):
-                        slot, n = np.unique(slots, return_counts=True)
-                        table[slot] += n
-        at = np.flatnonzero(table)
-        for i in range(0, len(at), 50_000):
-            part = at[i: i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(table[part])], ["slot", "n"])
 
-    return texts.mapInArrow(run, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
+def tally(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """How often texts have each word and pair, by hash; under 0 the number of their words.  Addresses are left out."""
+    keys, ns = [np.zeros(1, np.uint64)], [np.zeros(1, np.int64)]
+    for part in _batches(texts):
+        bare = ["".join(map(_bare, segments(t))) if "://" in t or "www." in t else t for t in (texts[i] for i in part)]
+        w, owner = words(bare)
+        ns[0][0] += len(w)
+        for x in (w, _pairs(w)[owner[:-1] == owner[1:]] if len(w) else w):
+            key, n = np.unique(x, return_counts=True)
+            keys.append(key)
+            ns.append(n)
+        if len(keys) > 64:
+            key, n = _tally(keys, ns)
+            keys, ns = [np.zeros(1, np.uint64), key[1:]], [n[:1].copy(), n[1:]]
+    return _tally(keys, ns)
 
 
 class Judge:
-    """Applies the counts of a corpus."""
+    """Applies the counts of a corpus that hold for the words and pairs of some of its texts."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.counts = keys[order], counts[order]
+        self.total = float(max(2, self.counts[0] if len(keys) and self.keys[0] == 0 else 2))
 
-    def __init__(self, table: np.ndarray):
-        self.words = table[: 1 << WORD_BITS]
-        self.pairs = table[1 << WORD_BITS:]
-        self.total = float(max(2, self.words.sum()))
+    def _count(self, keys: np.ndarray) -> np.ndarray:
+        """Occurrences in the corpus; keys it hasn't have none."""
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.counts[at], 0)
 
     def scores(self, texts: list[str]) -> list[tuple[float, float]]:
         """Of each text the share of its characters in stuffing segments, and the mean information of its pairs."""
         out = [(0.0, 0.0)] * len(texts)
-        for kind in _by_script(texts):
-            for start in range(0, len(kind), 256):
-                part = kind[start: start + 256]
-                for i, (doubtful, information) in zip(part, self._screen([texts[i] for i in part])):
-                    out[i] = (self._share(texts[i]) if doubtful else 0.0, information)
+        for part in _batches(texts):
+            for i, got in zip(part, self._scores([texts[i] for i in part])):
+                out[i] = got
         return out
 
-    def _information(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of every pair of a text its information without the text's own words, and whether it is a repeated collocation."""
-        p, at = _pairs(w, np.zeros(len(w), np.int64))
-        if not len(p):
-            return np.empty(0), np.empty(0, bool)
-        _, back, often = np.unique(p, return_inverse=True, return_counts=True)
-        ws = _word_slot(w)
-        _, behind, times = np.unique(ws, return_inverse=True, return_counts=True)
-        often = often[back]
-        other = np.maximum(self.pairs[p] - often, 0)
-        single = np.maximum(self.words[ws] - times[behind], 0) + 1.0
-        pmi = np.log((other + 0.02) * self.total / (single[:-1] * single[1:]))
-        # a pair no other document has says nothing in favour of it
-        pmi = np.where(other > 0, pmi, np.minimum(pmi, 0.0))
-        return pmi, (often >= REPEATED) & (other < COMMON * self.total)
-
-    def _screen(self, texts: list[str]) -> list[tuple[bool, float]]:
-        """Whether a text may hold much stuffing, and the mean information of its pairs.
-
-        A text's own words are counted in a small table, where others may add to
-        them; so pairs look rarer elsewhere than they are and no text looks better.
-        """
-        w, owner = words(texts)
-        p, at = _pairs(w, owner)
-        k, of = len(texts), owner[at]
-        own = (p * 0x9E3779B1 + of * 0x85EBCA77) & 0xFFFFF
-        often = np.bincount(own, minlength=1 << 20)[own]
-        other = np.maximum(self.pairs[p] - often, 0)
-        single = self.words[_word_slot(w)] + 1.0
-        pmi = np.log((other + 0.02) * self.total / (single[at] * single[at + 1]))
-        n = np.maximum(np.bincount(of, minlength=k), 1)
-        mean = np.bincount(of, pmi, k) / n
-        odd = np.bincount(of, (pmi < 0) | ((often >= REPEATED) & (other < COMMON * self.total)), k) / n
-        # a generous guess at the characters: what a link, tag, price or item may hold
-        guess = [60 * t.count("://") + 15 * t.count("#") + 40 * sum(map(t.count, "$€£¥₫")) + 10 * sum(map(t.count, ",|·/;")) for t in texts]
-        return [(g + o * len(t) > SCREEN * len(t), m) for t, g, o, m in zip(texts, guess, odd.tolist(), mean.tolist())]
-
-    def _share(self, text: str) -> float:
-        segs = segments(text)
+    def _elsewhere(self, keys: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How often each key is in its own text, and how often in the rest of the corpus."""
+        distinct, back = np.unique(keys, return_inverse=True)
+        _, own, often = np.unique(back.astype(np.int64) * (int(text[-1]) + 1) + text, return_inverse=True, return_counts=True)
+        often = often[own]
+        return often, np.maximum(self._count(distinct)[back] - often, 0)
+
+    def _scores(self, texts: list[str]) -> list[tuple[float, float]]:
+        segs, of_text = [], []
+        for i, t in enumerate(texts):
+            own = segments(t)
+            segs += own
+            of_text += [i] * len(own)
+        sizes = np.fromiter((len(s.strip()) for s in segs), np.int64, len(segs))
+        of_text = np.array(of_text, np.int64)
+        whole = np.maximum(np.bincount(of_text, sizes, len(texts)), 1)
+        w, segment = words([_bare(s) for s in segs]) if segs else (np.empty(0, np.uint64), np.empty(0, np.int64))
         k = len(segs)
-        sizes = [len(s.strip()) for s in segs]
-        whole = sum(sizes)
-        if not whole:
-            return 0.0
-        bare = [_URL.sub(" ", s) if "://" in s or "www." in s else s for s in segs]
-        w, segment = words(bare)
-        pmi, repeated = self._information(w)
-        inside = segment[:-1] == segment[1:]
-        if not len(pmi):
-            inside = np.empty(0, bool)
-        of = segment[:-1][inside] if len(pmi) else np.empty(0, np.int64)
-        pairs = np.bincount(of, minlength=k)
-        mean = np.bincount(of, pmi[inside], k) / np.maximum(pairs, 1)
-        again = np.bincount(of, repeated[inside], k) / np.maximum(pairs, 1)
-        stuffed, fenced = 0, False
-        for i, s in enumerate(segs):
-            if _FENCE.match(s):
-                fenced = not fenced
-            elif not fenced and sizes[i] and self._stuffing(s, int(pairs[i]), mean[i], again[i]):
-                stuffed += sizes[i]
-        return stuffed / whole
-
-    def _stuffing(self, s: str, pairs: int, mean: float, again: float) -> bool:
+        pairs, mean, again, odd, information = np.zeros(k, np.int64), np.zeros(k), np.zeros(k), np.zeros(k), np.zeros(len(texts))
+        if len(w) > 1:
+            text = of_text[segment]
+            at = np.flatnonzero(text[:-1] == text[1:])
+            often, other = self._elsewhere(_pairs(w)[at], text[at]) if len(at) else (np.empty(0, np.int64),) * 2
+            single = self._elsewhere(w, text)[1] + 1.0
+            pmi = np.log((other + 0.02) * self.total / (single[at] * single[at + 1]))
+            # a pair no other document has says nothing in favour of it
+            pmi = np.where(other > 0, pmi, np.minimum(pmi, 0.0))
+            repeated = (often >= REPEATED) & (other < COMMON * self.total)
+            n = np.bincount(text[at], minlength=len(texts))
+            information = np.bincount(text[at], pmi, len(texts)) / np.maximum(n, 1)
+            inside = segment[at] == segment[at + 1]
+            of = segment[at][inside]
+            pairs = np.bincount(of, minlength=k)
+            mean = np.bincount(of, pmi[inside], k) / np.maximum(pairs, 1)
+            again = np.bincount(of, repeated[inside], k) / np.maximum(pairs, 1)
+            odd = np.bincount(of, pmi[inside] <= 0, k) / np.maximum(pairs, 1)
+        stuffed = np.zeros(len(texts), np.int64)
+        fenced, last = False, -1
+        told = zip(segs, of_text.tolist(), sizes.tolist(), pairs.tolist(), mean.tolist(), again.tolist(), odd.tolist())
+        for s, i, size, n, m, a, o in told:
+            if i != last:
+                fenced, last = False, i
+            if "`" in s or "~" in s:
+                if _FENCE.match(s):
+                    fenced = not fenced
+                    continue
+            if size and not fenced and self._stuffing(s, n, m, a, o):
+                stuffed[i] += size
+        return list(zip((stuffed / whole).tolist(), information.tolist()))
+
+    def _stuffing(self, s: str, pairs: int, mean: float, again: float, odd: float) -> bool:
         if "://" in s or "www." in s:
             rest = _WORD.findall(_URL.sub("", _ANCHOR.sub("", s)).lower())
             return len(rest) < 8 or mean < SALAD
@@ -252,32 +259,84 @@ class Judge:
                     return not (_LOG.match(s) or _ROW.match(s))
         if pairs >= 2 and again >= STUFFED:
             return not (_LOG.match(s) or _ROW.match(s))
-        if pairs < SALAD_PAIRS or mean >= SALAD:
+        if pairs < SALAD_PAIRS or mean >= SALAD or odd < ODD:
             return False
         return not (_LOG.match(s) or _ROW.match(s) or _DEFINED.match(s) or len(_CODE.findall(s)) > 1)
 
 
-def scored(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per distinct key with a text: key, stuffed (share of characters), information (mean), found.
 
     Null texts have no row; an empty or blank text has shares of 0 and isn't found;
     a repeated key is reported if any of its texts is.
     """
+    session = docs.sparkSession
     rows = docs.where(docs[text].isNotNull()).select(docs[key].alias("key"), docs[text].alias("text"))
-    # no more than 2^WORD_BITS + 2^PAIR_BITS rows, whatever the size of the corpus
-    found = counts(rows.select("text").distinct()).toPandas()
-    table = np.zeros((1 << WORD_BITS) + (1 << PAIR_BITS), np.int32)
-    table[found["slot"].to_numpy()] = np.minimum(found["n"].to_numpy(), 2**31 - 1)
-    shared = docs.sparkSession.sparkContext.broadcast(table)
-
-    def run(batches):
-        judge = Judge(shared.value)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-size // block_bytes))
+
+    def once(batches):
+        """Each text of a task once, with the number of times it came."""
+        seen: dict[bytes, list] = {}
+        for batch in batches:
+            fresh, marks = [], []
+            for i, t in enumerate(batch.column(0).to_pylist()):
+                mark = hashlib.md5(t.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest()
+                if mark in seen:
+                    seen[mark] += 1
+                else:
+                    seen[mark] = 0
+                    fresh.append(i)
+                    marks.append(mark)
+            yield _texts(marks, batch.column(0).take(pa.array(fresh, pa.int32())), [1] * len(marks))
+        more = [(m, n) for m, n in seen.items() if n]
+        for i in range(0, len(more), 10_000):
+            part = more[i: i + 10_000]
+            yield _texts([m for m, _ in part], pa.nulls(len(part), pa.string()), [n for _, n in part])
+
+    def _texts(marks, texts, n):
+        place = [int.from_bytes(m[:8], "big") % blocks for m in marks]
+        return pa.RecordBatch.from_arrays([pa.array(place, pa.int32()), pa.array(marks, pa.binary()), texts, pa.array(n, pa.int64())], ["block", "mark", "text", "n"])
+
+    parts = max(int(session.conf.get("spark.sql.shuffle.partitions")), blocks)
+    # the only time texts are shuffled; all that follows groups by block
+    placed = rows.select("text").mapInArrow(once, "block int, mark binary, text string, n bigint").repartition(parts, "block")
+    texts = placed.where("text is not null").select("block", "mark", "text").distinct()
+
+    def count(batches):
+        found: dict[int, list] = {}
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                got = judge.scores(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([round(a, 6) for a, _ in got]), pa.array([round(b, 6) for _, b in got]), pa.array([a > MOST for a, _ in got])], ["key", "stuffed", "information", "found"])
-
-    kind = rows.schema["key"].dataType.simpleString()
-    result = rows.mapInArrow(run, f"key {kind}, stuffed double, information double, found boolean")
-    return result.groupBy("key").agg(F.max("stuffed").alias("stuffed"), F.min("information").alias("information"), F.max("found").alias("found")).withColumnRenamed("key", key)
+            by: dict[int, list] = {}
+            for b, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                by.setdefault(b, []).append(t)
+            for b, own in by.items():
+                key, n = tally(own)
+                keys, ns = found.setdefault(b, [[], []])
+                keys.append(key)
+                ns.append(n)
+                if len(keys) > 16:
+                    key, n = _tally(keys, ns)
+                    keys[:], ns[:] = [key], [n]
+        for b, (keys, ns) in found.items():
+            key, n = _tally(keys, ns)
+            for i in range(0, len(key), 100_000):
+                part = key[i: i + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), b, np.int32)), pa.array(part.view(np.int64)), pa.array(n[i: i + 100_000])], ["block", "slot", "n"])
+
+    told = texts.mapInArrow(count, "block int, slot bigint, n bigint")
+    # a word or pair has at most one row per block here
+    known = told.select("block", "slot", F.sum("n").over(Window.partitionBy("slot")).alias("n"))
+
+    def judged(left: pa.Table, right: pa.Table) -> pa.Table:
+        judge = Judge(right.column("slot").to_numpy().view(np.uint64), right.column("n").to_numpy())
+        marks, got = left.column("mark"), []
+        for batch in left.select(["text"]).to_batches(max_chunksize=2_000):
+            got += judge.scores(batch.column(0).to_pylist())
+        return pa.table({"mark": marks, "stuffed": pa.array([round(a, 6) for a, _ in got], pa.float64()), "information": pa.array([round(b, 6) for _, b in got], pa.float64()), "found": pa.array([a > MOST for a, _ in got], pa.bool_())})
+
+    result = texts.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(judged, "mark binary, stuffed double, information double, found boolean")
+    copies = placed.groupBy("mark").agg(F.sum("n").alias("copies"))
+    result = durable(result.join(copies, "mark"))
+    marked = rows.select("key", F.unhex(F.md5("text")).alias("mark"))
+    full = lookup(marked, result, ["mark"], "copies")
+    return full.groupBy("key").agg(F.max("stuffed").alias("stuffed"), F.min("information").alias("information"), F.max("found").alias("found")).withColumnRenamed("key", key)

@@ -257,6 +257,41 @@ def test_copies_do_not_vouch_for_a_stuffed_page(spark):
     assert {x.doc_id for x in got.where("found").collect()} == {i for i, t in rows if t in (keys, salad)} and got.count() == len(rows)
 
 
+def _letters(r, n):
+    return " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(n))
+
+
+def test_salad_of_words_the_corpus_does_not_know(spark):
+    r = random.Random(12)
+    noun = [f"{a}{b}" for a in ("tar", "lin", "mor", "pel", "sud", "vek") for b in ("an", "et", "is", "or")]
+    prose = lambda n: " ".join("Please restart the {} after you have changed the {} of a {}.".format(*(r.choice(noun) for _ in range(3))) for _ in range(n))
+    rows = [(i, prose(8)) for i in range(150)] + [(500, _letters(r, 300)), (501, prose(1) + "\n" + _letters(r, 60)), (502, prose(9) + "\n" + _letters(r, 4))]
+    got = stuffing.scored(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert {x.doc_id for x in got.where("found").collect()} == {500, 501}
+
+
+def test_counts_do_not_depend_on_blocks_and_do_not_saturate(spark):
+    r = random.Random(13)
+    noun = [f"{a}{b}" for a in ("tar", "lin", "mor", "pel", "sud", "vek") for b in ("an", "et", "is", "or")]
+    prose = lambda n: " ".join("If a {} is empty then the {} falls back to the {} that was used before.".format(*(r.choice(noun) for _ in range(3))) for _ in range(n))
+    texts = [prose(6) for _ in range(80)] + [" ".join(r.choice(noun) for _ in range(60)) for _ in range(3)] + ["", " ", "https://a.example/x www.b.example"]
+    rows = list(enumerate(texts)) + [(900 + i, texts[0]) for i in range(40)] + [(7, texts[81]), (None, texts[5]), (8, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    whole, cut = ({x.doc_id: (x.stuffed, x.information, x.found) for x in stuffing.scored(df, block_bytes=b).collect()} for b in (1 << 30, 2_000))
+    assert whole == cut and whole[7][2] and {i for i, x in whole.items() if x[2]} >= {7, 80, 81, 82}
+    # the same corpus a thousand times as large, and with a hundred million other pairs
+    keys, counts = stuffing.tally(texts[:80])
+    salad = [" ".join(r.choice(noun) for _ in range(80)) for _ in range(20)]
+    small, large = (stuffing.Judge(keys, counts * k) for k in (1, 1000))
+    own = stuffing.tally(salad)
+    for judge in (small, large):
+        got = judge.scores(salad + texts[:80])
+        assert all(a > 0.5 for a, _ in got[:20]) and not any(a > 0.5 for a, _ in got[20:])
+    assert own[1][0] == 1600 and keys[0] == 0
+    w = np.arange(1, 2_000_001, dtype=np.uint64)
+    assert len(np.unique(stuffing._pairs(w))) == len(w) - 1 and not (stuffing._pairs(w) & np.uint64(1)).any()
+
+
 def test_segments_are_the_whole_text():
     r = random.Random(1)
     for _ in range(200):

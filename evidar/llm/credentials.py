@@ -2,8 +2,8 @@
 
 Candidates are values in a place where a secret may stand: after a name such as
 ``api_key``, in the user part of an address, after ``Bearer``, on a command line,
-in a log-in call, in a comment, in a key block, or with the prefix of a known
-issuer.  A logistic regression scores them from the likelihood of their characters
+in a log-in call, in a comment, in a key block, with the prefix of a known issuer,
+or a long literal of mixed letters and digits under any name.  A logistic regression scores them from the likelihood of their characters
 under two Markov models (ordinary literals, secrets), from the name and the call
 around them and from the path.  It is trained on candidates and ordinary literals
 of a bounded sample of files with weak labels from pattern matches, and its scores
@@ -56,7 +56,11 @@ _OPENED = re.compile(r"(?:\(\s*|(?:bytes\.fromhex|(?:base64\.)?b64decode|atob|Bu
 _LITERAL = re.compile(r"(?:[bruBRU]{0,2})(\"\"\"|'''|[\"'`])")
 _JOIN = re.compile(r"\s*(?:\+|\\|\.\.|&)?\s*(?:[bru]?)(?=[\"'`])")
 _BARE = re.compile(r"[^\s\"'`#,;{}()\[\]][^\s\"'`]*(?=[\"']?\s*,?\s*$)", re.M)
-_REMARK = re.compile(rf"(?i)(?:(?:^|\s)(?:#|//)|^\s*(?:;|\*|--|/\*))[^\n:=]{{0,80}}?\b((?:\w+[ _-])?{_SECRET.replace('_?', '[ _-]?')})\b(?:[^\n:=(){{}}]{{0,40}}[:=]|\s+(?:is|was|were|ist|war|là))\s*([^\s(){{}}]+)\s*$")
+_OPENER = re.compile(r"(?:^|\s)(?:#|//)|^\s*(?:;|\*|--|/\*)")
+_REMARK = re.compile(rf"(?i)\b((?:\w+[ _-])?{_SECRET.replace('_?', '[ _-]?')})\b")
+_TOLD = re.compile(r"(?i)[^:=(){}]*[:=]\s*\Z|\s+(?:is|was|were|ist|war|là)\s*\Z")
+#: a long literal in mixed letters and digits, whatever its name
+_OPAQUE = re.compile(r"([\"'])([A-Za-z0-9+/_~.=-]{20,})\1")
 _COMMENT = re.compile(r"\s*(?:#|//|;|\*|--|<!--)")
 _CONFIG = re.compile(r"\.(?:ya?ml|json|ini|env|toml|cfg|conf|properties|xml|tf|npmrc)$|(?:^|/)\.[\w.-]+$")
 _CODE = re.compile(r"\.(?:py|js|swift)$")
@@ -67,9 +71,10 @@ _STAND_IN = re.compile(
 )
 _CHECKSUM = re.compile(r"(?i)^(?:sha\d{1,3}|md5)[-:]|^data:|-----BEGIN (?:RSA )?PUBLIC")
 _FILE = re.compile(r"^[\w.~-]*(?:/[\w.~-]+)+/?$")
-_ORDINARY = re.compile(r"([A-Za-z_]\w{2,40})[\"']?\s*[:=]\s*[\"']([^\"'\n]{6,120})[\"']")
+_ORDINARY = re.compile(r"([A-Za-z_]\w{2,40})[\"']?\s*[:=]\s*[\"']([^\"'\n]{6,})[\"']")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _ALPHABET = 96
+_FOLD = {x: x + 32 for x in range(ord("A"), ord("Z") + 1)}
 
 
 @dataclass(slots=True)
@@ -82,20 +87,16 @@ class Candidate:
     place: str
 
 
-def _literal(text: str, at: int, limit: int = 4000) -> tuple[str, list[tuple[int, int]]] | None:
+def _literal(text: str, at: int) -> tuple[str, list[tuple[int, int]]] | None:
     """The string literal that begins at ``at``, with the literals joined to it."""
     parts, spans = [], []
     while m := _LITERAL.match(text, at):
         quote, start = m.group(1), m.end()
-        end = start
-        while True:
-            end = text.find(quote, end)
-            if end < 0 or end - start > limit or (len(quote) == 1 and quote != "`" and "\n" in text[start:end]):
-                end = -1
-                break
-            if text[end - 1] != "\\" or text[end - 2: end] == "\\\\":
-                break
-            end += 1
+        # a literal in single quotes ends on its line
+        last = text.find("\n", start) if len(quote) == 1 and quote != "`" else -1
+        end = text.find(quote, start, last if last >= 0 else len(text))
+        while end >= 0 and _escaped(text, start, end):
+            end = text.find(quote, end + 1, last if last >= 0 else len(text))
         if end < 0:
             break
         parts.append(text[start:end])
@@ -109,6 +110,14 @@ def _literal(text: str, at: int, limit: int = 4000) -> tuple[str, list[tuple[int
     return ("".join(parts), spans) if spans else None
 
 
+def _escaped(text: str, start: int, at: int) -> bool:
+    """Whether an odd number of backslashes stands before a place."""
+    before = at
+    while before > start and text[before - 1] == "\\":
+        before -= 1
+    return (at - before) % 2 == 1
+
+
 def _indented(text: str, joined: re.Match) -> bool:
     """Whether the next line's literal continues this one: alone on its line, as inside brackets."""
     start = text.rfind("\n", 0, joined.end()) + 1
@@ -120,7 +129,7 @@ def _lines(text: str) -> set[tuple[int, int]]:
     """Begin and end of the lines in which something may stand."""
     low = text.lower()
     if len(low) != len(text):  # some letters change their length
-        low = text
+        low = text.translate(_FOLD)
     lines = set()
     for word in _NEEDED:
         at = low.find(word)
@@ -169,20 +178,68 @@ def candidates(text: str, path: str) -> list[Candidate]:
                 continue
             opened = _OPENED.match(text, after.end())
             if got := _literal(text, opened.end()):
-                if not (got[0].startswith("-----BEGIN") and "PRIVATE" in got[0][:40]):
+                if not _BLOCK.match(got[0]):
                     add(*got, m.group(), "comment" if remark else "pair")
             elif (config or remark) and after.end() <= end and (b := _BARE.match(text, after.end(), end)):
                 add(b.group(), [b.span()], m.group(), "comment" if remark else "pair")
-        if m := _REMARK.search(line):
-            value = m.group(2).rstrip(",;\"'").lstrip("\"'")
-            at = start + m.start(2) + (len(m.group(2)) - len(m.group(2).lstrip("\"'")))
-            add(value, [(at, at + len(value))], m.group(1), "comment")
+        if got := _remark(line):
+            name, at, value = got
+            add(value, [(start + at, start + at + len(value))], name, "comment")
         for m in _ISSUED.finditer(line):
             if not any(a <= start + m.start() < b for c in found.values() for a, b in c.spans):
                 add(m.group(), [(start + m.start(), start + m.end())], "", "issued")
+    for m in _OPAQUE.finditer(text):
+        value = m.group(2)
+        if value.isalpha() or value.islower() or value.isupper() or not any(x.isdigit() for x in value):
+            continue
+        if not any(a <= m.start(2) < b for c in found.values() for a, b in c.spans):
+            add(value, [m.span(2)], _named(text, m.start()), "opaque")
     return [found[k] for k in sorted(found)]
 
 
+def _named(text: str, at: int) -> str:
+    """The name a value at a place is given to: a word, then a colon, a sign, a comma or a bracket."""
+    end = at
+    while end and text[end - 1] in " \t":
+        end -= 1
+    if not end or text[end - 1] not in ":=(,":
+        return ""
+    end -= 1
+    while end and text[end - 1] in " \t\"']":
+        end -= 1
+    begin = end
+    while begin and (text[begin - 1].isalnum() or text[begin - 1] in "_.-"):
+        begin -= 1
+    return text[begin:end]
+
+
+def _remark(line: str) -> tuple[str, int, str] | None:
+    """Name, place and value of what a comment says of a secret: the last word of the line, after a name and a colon, a sign or a verb."""
+    bare = line.rstrip()
+    begin = max(bare.rfind(c) for c in " \t(){}") + 1
+    opened = _OPENER.search(line)
+    if not opened or begin <= opened.end() or begin == len(bare):
+        # the value may follow its sign without a space
+        begin = max(begin, bare.rfind(":") + 1, bare.rfind("=") + 1) if opened and begin < len(bare) else len(bare)
+    if begin == len(bare):
+        return None
+    starts = [m.end() for m in _OPENER.finditer(line)]
+    for m in _REMARK.finditer(line):
+        sign = max(line.rfind(":", 0, m.start()), line.rfind("=", 0, m.start()))
+        if not any(sign < x <= m.start() + 1 for x in starts):
+            continue
+        at = begin
+        if not _TOLD.match(line[m.end():at]):
+            # name:value in one word
+            at = max(bare.find(":", m.end()), bare.find("=", m.end())) + 1
+            if at < max(begin, 1) or not _TOLD.match(line[m.end():at]):
+                continue
+        raw = bare[at:]
+        value = raw.rstrip(",;\"'").lstrip("\"'")
+        return m.group(1), at + len(raw) - len(raw.lstrip("\"'")), value
+    return None
+
+
 def _ordinary(text: str) -> list[Candidate]:
     """Literals under other names, to train on."""
     return [Candidate(m.group(2), [m.span(2)], m.group(1), "pair") for m in _ORDINARY.finditer(text) if not _NAME.search(m.group(1))]
@@ -198,6 +255,8 @@ def weak_label(c: Candidate) -> int | None:
     if _ISSUED.fullmatch(v):
         return 1
     letters, digits = any(x.isalpha() for x in v), any(x.isdigit() for x in v)
+    if c.place == "opaque":
+        return None
     if c.place == "pair" and not _NAME.search(c.name):
         return 0
     if " " in v or not (letters and digits):
@@ -213,7 +272,7 @@ class Markov:
     def __init__(self, values: list[str]):
         counts = np.ones((_ALPHABET, _ALPHABET))
         for v in values:
-            codes = self._codes(v[:200])
+            codes = self._codes(v)
             np.add.at(counts, (codes[:-1], codes[1:]), 1)
         self.logs = np.log(counts / counts.sum(1, keepdims=True))
 
@@ -223,11 +282,11 @@ class Markov:
         return np.clip(raw, 0, _ALPHABET - 1)
 
     def mean(self, v: str) -> float:
-        codes = self._codes(v[:400])
+        codes = self._codes(v)
         return float(self.logs[codes[:-1], codes[1:]].mean()) if len(codes) > 1 else 0.0
 
 
-_PLACES = ("pair", "address", "header", "command", "login", "comment", "block", "issued")
+_PLACES = ("pair", "address", "header", "command", "login", "comment", "block", "issued", "opaque")
 _BUCKETS = 48
 
 
@@ -317,7 +376,8 @@ def train(nodes: DataFrame, sample: int = SAMPLE) -> Model:
     rows = nodes.where(F.col("source").isNotNull() & F.col("id").isNotNull() & (F.col("label") == "Module"))
     share = sample / max(1, rows.count())
     picked = rows.where(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    texts = picked.select(F.coalesce("file", "name", F.lit("")).alias("path"), "source").distinct().limit(2 * sample).collect()
+    # in the order of a hash, so that the same table gives the same model
+    texts = picked.select(F.coalesce("file", "name", F.lit("")).alias("path"), "source").distinct().orderBy(F.xxhash64("path", "source")).limit(2 * sample).collect()
     return Model([(r.path, r.source) for r in texts])
 
 

@@ -2,12 +2,15 @@
 
 A random forest reads shape only: compression ratio, token entropy, lengths of
 identifiers, comment density and the like, of a file without its first and last
-comment lines.  Its training labels are weak: header and footer notices, file name
-conventions, and modules that are squeezed or nothing but literals; the text of
-notices and the names of files are hidden from the features.  Copies of other
-projects' files look hand-written; they are known by their folder, by their
-notice, or by a similarity of 0.8 to a known upstream file.  A file is reported if a
-notice, a package folder or a copy settles it, or the forest's score reaches the threshold.
+comment lines.  Its training labels are weak: header and footer notices, which are
+hidden from the features, and for the two kinds that never carry a notice, squeezed
+modules and modules that are nothing but literals, their structure.  A notice only
+labels; a file that has one is judged by its shape like any other.
+
+Copies of other projects' files look hand-written, so no shape can show them.  They
+are left out of the training and settled by themselves: by a package folder, by
+another project's copyright notice, or by a similarity of 0.8 to a known upstream
+file, from an index of all shingles of the upstream files.
 """
 
 from __future__ import annotations
@@ -49,7 +52,11 @@ _TRANSPILED = re.compile(r"""Object\.defineProperty\(exports, ["']__esModule["']
 _FOLDER = re.compile(r"(?:^|/)(?:node_modules|bower_components|vendor|_vendor|vendored|third_party|thirdparty|third-party|deps|site-packages)/")
 _BUILT = re.compile(r"[.-]min\.js$|\.bundle\.js$|-[0-9a-f]{8}\.js$|_pb2(?:_grpc)?\.py$")
 _TERMS = re.compile(r"(?i)\(c\) \d{4} the \w+ (?:contributors|authors)|redistribution (?:and use )?(?:is )?permitted|licensed under the|permission is hereby granted")
-_OPENING = re.compile(r"""\s*[rRuU]?(?:\"{3}[\s\S]*?\"{3}|'{3}[\s\S]*?'{3})""")
+_LEAD = re.compile(
+    r"""\s+|(?:\#|//)[^\n]*|/\*[\s\S]*?\*/|<!--[\s\S]*?-->|[rRuU]?(?:\"{3}[\s\S]*?\"{3}|'{3}[\s\S]*?'{3}|"[^"\n]*"|'[^'\n]*')[ \t]*;?(?=\s|\Z)
+    |(?:import|from|package)\b[^\n(;{]*(?:\([^)]*\)|\{[^}]*\}[^\n;]*)?;?|(?:const|var|let)\s+[^=\n;]+=\s*require\([^)\n]*\)[^\n;]*;?""",
+    re.X,
+)
 _COMMENT = re.compile(r"\s*(?:#|//|/\*|\*|<!--)")
 _TOKEN = re.compile(r"[A-Za-z_$]\w*|\d+(?:\.\d+)?|[^\w\s]")
 _WORD = re.compile(r"\w+")
@@ -90,29 +97,34 @@ def notice(text: str) -> bool:
     return any(_NOTICE.search(x) and not x.lstrip().startswith("#!") for x in lines[:a] + lines[b:])
 
 
-def copy_notice(text: str) -> bool:
-    """Whether the leading or trailing comment lines name another project's version and terms.
+def _head(text: str) -> str:
+    """What comes before the first statement: comments, a string that opens the file, directives and imports."""
+    at = 0
+    while m := _LEAD.match(text, at):
+        if m.end() == at:
+            break
+        at = m.end()
+    return text[:at]
 
-    So may a string that opens the file, or what follows a directive or import in its first 1,500 characters.
-    """
+
+def copy_notice(text: str) -> bool:
+    """Whether what precedes the first statement, or the trailing comment lines, name another project's version and terms."""
     lines = text.split("\n")
     a, b = _edges(lines)
-    head = "\n".join(lines[:a]) + "\n" if a else ""
-    opening = _OPENING.match(text, len(head))
-    return any(_TERMS.search(x) for x in (text[:1500], head, opening.group() if opening else "", "\n".join(lines[b:])))
+    return any(_TERMS.search(x) for x in ("\n".join(lines[:a]), _head(text), "\n".join(lines[b:])))
 
 
 def weak_label(path: str, text: str, copied: float) -> int | None:
-    """1 where a notice or a convention of tools says the file isn't hand-written, else 0.
+    """1 where a notice, or the structure of a kind that never has one, says the file isn't hand-written, else 0.
 
-    None for copies of other projects' files: somebody wrote them by hand, so their
-    shape says nothing; they are known without the forest.
+    None for copies of other projects' files, since somebody wrote them by hand and
+    their shape says nothing, and for files named as tools name what they build.
     """
-    if notice(text) or _BUILT.search(path) or _BANNER.search(text) or _TRANSPILED.search(text) or _squeezed(text):
+    if notice(text) or _BANNER.search(text) or _TRANSPILED.search(text) or _squeezed(text):
         return 1
     if len(text) > 400 and _LITERAL.match(text) and not _CODE.search(text):
         return 1
-    return None if copied >= SIMILAR or copy_notice(text) or _FOLDER.search(path) else 0
+    return None if copied >= SIMILAR or copy_notice(text) or _FOLDER.search(path) or _BUILT.search(path) else 0
 
 
 def _squeezed(text: str) -> bool:
@@ -156,35 +168,50 @@ def features(text: str) -> list[float]:
 
 
 class _Upstream:
-    """Shingles of the known third-party files."""
+    """An index of the shingles of the known third-party files: exact, for any text."""
 
     def __init__(self, sources: list[str]):
-        self.files = [self.shingles(s) for s in sources]
-        lines = Counter(x for s in sources for x in self.lines(s))
-        self.telling = frozenset(x for x, n in lines.items() if n < 3)
-
-    @staticmethod
-    def lines(text: str) -> set[str]:
-        return {x for x in map(str.strip, text.split("\n")) if len(x) > 11}
+        self.words: dict[str, int] = {}
+        own = [np.unique(self._codes([self.words.setdefault(w, len(self.words) + 1) for w in _WORD.findall(s)])) for s in sources]
+        self.sizes = np.array([len(x) for x in own], np.int64)
+        code = np.concatenate([*own, np.empty(0, np.uint64)])
+        file = np.repeat(np.arange(len(own)), self.sizes)
+        order = np.argsort(code, kind="stable")
+        self.file = file[order]
+        self.codes, self.start = np.unique(code[order], return_index=True)
+        self.end = np.append(self.start[1:], len(code))
 
     @staticmethod
-    def shingles(text: str) -> set:
-        w = _WORD.findall(text)
-        return set(zip(*(w[i:] for i in range(SHINGLE))))
+    def _codes(ids: list[int]) -> np.ndarray:
+        """A number for each five words in a row."""
+        x = np.array(ids, np.uint64)
+        if len(x) < SHINGLE:
+            return np.empty(0, np.uint64)
+        n = len(x) - SHINGLE + 1
+        out = np.zeros(n, np.uint64)
+        with np.errstate(over="ignore"):
+            for i in range(SHINGLE):
+                out = (out ^ x[i: i + n]) * np.uint64(0x9E3779B97F4A7C15)
+                out ^= out >> np.uint64(31)
+        return out
 
     def copied(self, text: str) -> float:
-        """Shared shingles with the most similar file, as a share of the smaller of both.
-
-        A copy in which no telling line is left as it was has a word changed in
-        every line, so with lines of fewer than 25 words its similarity is below
-        0.8; only texts with longer lines are compared without such a line.
-        """
-        if not self.files or (self.telling.isdisjoint(map(str.strip, text.split("\n"))) and len(text) < 120 * (text.count("\n") + 1)):
+        """Shared shingles with the most similar file, as a share of the smaller of both."""
+        words = _WORD.findall(text)
+        if not len(self.codes) or len(words) < SHINGLE:
             return 0.0
-        own = self.shingles(text)
-        if len(own) < SHINGLE:
+        known = self.words
+        # a word no upstream file has gets a number of this text's own
+        fresh: dict[str, int] = {}
+        ids = [known.get(w) or fresh.setdefault(w, len(known) + len(fresh) + 1) for w in words]
+        own = np.unique(self._codes(ids))
+        at = np.minimum(np.searchsorted(self.codes, own), len(self.codes) - 1)
+        at = at[self.codes[at] == own]
+        if not len(at) or len(own) < SHINGLE:
             return 0.0
-        return max(len(own & f) / max(1, min(len(own), len(f))) for f in self.files)
+        files = np.concatenate([self.file[self.start[i]: self.end[i]] for i in at])
+        shared = np.bincount(files, minlength=len(self.sizes))
+        return float((shared / np.maximum(1, np.minimum(len(own), self.sizes))).max())
 
 
 def described(modules: DataFrame, upstream: DataFrame, sampled: float = 1.0) -> DataFrame:
@@ -192,7 +219,7 @@ def described(modules: DataFrame, upstream: DataFrame, sampled: float = 1.0) ->
 
     ``label`` is the weak label of the files sampled for training (a share
     ``sampled``, by a hash of the id) and null for the others; ``known`` says that
-    a notice, a package folder or a near copy of an upstream file settles it.
+    the file is settled as a copy of another project's.
     """
     texts = upstream.where("source is not null").select("source").distinct()
     size = texts.agg(F.sum(F.octet_length("source"))).first()[0] or 0
@@ -209,7 +236,7 @@ def described(modules: DataFrame, upstream: DataFrame, sampled: float = 1.0) ->
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), batch.column(1),
                 pa.array([weak_label(p, t, c) if zlib.crc32(i.encode()) < limit else None for (i, p, t), c in zip(rows, share)], pa.int32()),
-                pa.array([notice(t) or copy_notice(t) or c >= SIMILAR or bool(_FOLDER.search(p)) for (_, p, t), c in zip(rows, share)]),
+                pa.array([copy_notice(t) or c >= SIMILAR or bool(_FOLDER.search(p)) for (_, p, t), c in zip(rows, share)]),
                 pa.array([features(t) for _, _, t in rows], pa.list_(pa.float64())),
             ], ["id", "path", "label", "known", "features"])
 
@@ -223,15 +250,17 @@ def judged(nodes: DataFrame, upstream: DataFrame, suffixes: tuple[str, ...] = ("
     that ends in one of ``suffixes``; a module indexed several times is one file,
     reported if any of its versions is, with the greatest score.  Null sources have
     no row; an empty table gives none.  The forest is fitted on about ``sample``
-    files; without any labelled file only notices, folders and copies count.
+    files; if all of them have one label it says that one of every file; without any
+    labelled file only copies are reported.
     """
     path = F.coalesce("file", "name")
     files = nodes.where((F.col("label") == "Module") & F.col("id").isNotNull() & F.col("source").isNotNull() & path.rlike("(?:" + "|".join(re.escape(s) for s in suffixes) + ")$"))
     files = files.select("id", path.alias("path"), "source")
     table = durable(described(files, upstream, sample / max(1, files.count())))
-    chosen = table.where("label is not null").select("features", "label").limit(4 * sample).collect()
+    # in the order of a hash, so that the same table gives the same forest
+    chosen = table.where("label is not null").select("features", "label", F.xxhash64("id", "features").alias("h")).orderBy("h").limit(4 * sample).collect()
     x, y = np.array([r.features for r in chosen]).reshape(-1, len(FEATURES)), np.array([r.label for r in chosen])
-    forest = Forest().fit(x, y) if 0 < y.sum() < len(y) else Forest()
+    forest = Forest().fit(x, y) if len(y) else Forest()
     model = nodes.sparkSession.sparkContext.broadcast(forest)
 
     def run(batches):

@@ -2,7 +2,7 @@
 
 import pytest
 
-from evidar.llm import credentials
+from evidar.llm import credentials, handwritten
 
 
 def find(text, path="a.py"):
@@ -30,3 +30,25 @@ def test_remarks_of_any_length():
 @pytest.mark.parametrize("n", [1, 5000])
 def test_long_lines_take_time_in_proportion(n):
     assert find("# password " * n) == []
+
+
+def test_terms_behind_long_headers_and_imports():
+    terms = "Copyright (c) 2020 the panel contributors"
+    docs = '"""' + "Some words of the file.\n" * 200 + terms + '"""\n'
+    for text in (docs, "'use strict';\n" + "import a from 'b';\n" * 200 + f"// {terms}\n", "import os\nfrom a import (\n    b,\n    c,\n)\n" * 90 + f"# {terms}\n", "const a = require('a');\n" * 120 + f"/* {terms} */\n"):
+        assert handwritten.copy_notice(text + "x = 1\n")
+    assert not handwritten.copy_notice("x = 1\n" + docs + "y = 2\n") and not handwritten.copy_notice("")
+
+
+def test_versions_of_a_copy_and_short_lines():
+    body = [f"value_{i} = step_{i}(alpha, beta, {i})" for i in range(60)]
+    versions = ["\n".join([*body[:k], f"changed = {k}", *body[k + 1:]]) for k in (3, 20, 40)]
+    index = handwritten._Upstream(versions)
+    assert all(index.copied(v) == 1.0 for v in versions) and index.copied("\n".join(body)) > 0.9
+    short = "\n".join(f"a{i}\n=\n{i}" for i in range(80))
+    assert handwritten._Upstream([short]).copied(short) == 1.0 and index.copied(short) == 0.0 and index.copied("") == 0.0 and handwritten._Upstream([]).copied(short) == 0.0
+    words = [f"w{i % 37}" for i in range(400)]
+    for drop in range(0, 400, 25):
+        text = " ".join(words[:drop] + ["other"] + words[drop + 1:])
+        a, b = ({tuple(x[i: i + 5]) for i in range(len(x) - 4)} for x in (text.split(), words))
+        assert abs(handwritten._Upstream([" ".join(words)]).copied(text) - len(a & b) / min(len(a), len(b))) < 1e-9

@@ -5,11 +5,16 @@
 
 from __future__ import annotations
 
+import sys
+
 from . import javascript, python, swift
 
 LANGUAGES = ("python", "javascript", "swift")
 SUFFIX = {".py": "python", ".js": "javascript", ".swift": "swift"}
 
+#: calls within one another that a text may need; beyond it counts as damaged
+DEPTH = 1_000_000
+
 _CHECK = {"python": python.parses, "javascript": javascript.parses, "swift": swift.parses}
 
 
@@ -19,4 +24,17 @@ def parses(language: str, text: str, member: bool = False, alone: bool = False)
     ``alone`` marks a definition cut out of its file (common indentation is
     removed first); ``member`` one that stood in a class body.
     """
-    return _CHECK[language](text, member=member, alone=alone)
+    check = _CHECK[language]
+    try:
+        return check(text, member=member, alone=alone)
+    except RecursionError:
+        pass
+    # a deep text is read once more with room for its depth; calls among Python functions take no room on the machine's stack
+    usual = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(usual, DEPTH))
+    try:
+        return check(text, member=member, alone=alone)
+    except RecursionError:
+        return False
+    finally:
+        sys.setrecursionlimit(usual)

@@ -878,7 +878,7 @@ def _expression_ok(text: str) -> bool:
             p = _Parser(text)
             p.fn = 1
             known = p.k[p.expression(0)] == _END
-        except (Wrong, RecursionError, IndexError):
+        except (Wrong, IndexError):
             known = False
         if len(_expressions) > _LIMIT:
             _expressions.clear()
@@ -895,5 +895,5 @@ def parses(text: str, member: bool = False, alone: bool = False) -> bool:
         else:
             p.program()
         return True
-    except (Wrong, RecursionError, IndexError):
+    except (Wrong, IndexError):
         return False

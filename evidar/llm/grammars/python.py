@@ -12,16 +12,21 @@ import symtable
 import textwrap
 import warnings
 
-_ERRORS = (SyntaxError, ValueError, RecursionError, MemoryError, OverflowError)
+_ERRORS = (SyntaxError, ValueError, MemoryError, OverflowError)
 
 
 def parses(text: str, member: bool = False, alone: bool = False) -> bool:
-    """Whether ``text`` parses; with ``alone`` its common indentation is removed first."""
+    """Whether ``text`` parses; with ``alone`` its common indentation is removed first.
+
+    What the interpreter calls too complex (over 200 brackets in one another) doesn't.
+    """
     if alone and text[:1] in " \t\n\r":
         text = textwrap.dedent(text)
     try:
         symtable.symtable(text, "<source>", "exec")
         return True
+    except RecursionError:  # parsed; only what is made of it is too deep
+        return True
     except _ERRORS:
         pass
     try:
@@ -29,5 +34,7 @@ def parses(text: str, member: bool = False, alone: bool = False) -> bool:
             warnings.simplefilter("ignore")
             ast.parse(text)
         return True
+    except RecursionError:
+        return True
     except _ERRORS:
         return False

@@ -743,5 +743,5 @@ def parses(text: str, member: bool = False, alone: bool = False) -> bool:
         else:
             p.program()
         return True
-    except (Wrong, RecursionError, IndexError):
+    except (Wrong, IndexError):
         return False

@@ -1,9 +1,9 @@
 """Source that does not parse (problem 5).
 
-The file ending claims a language.  A text that is valid in it is settled; any
-other is read by the grammars of the remaining languages in the order in which its
-tokens rank them: a foreign language that accepts it shows a wrong ending, no
-language at all a damaged text.
+The file ending claims a language.  The tokens of every text rank the languages, and
+the grammars read it in that order: a text that the claimed grammar accepts is
+settled once that one has read it; any other is read by all of them, and a foreign
+language that accepts it shows a wrong ending, no language at all a damaged text.
 """
 
 from __future__ import annotations
@@ -50,12 +50,14 @@ def valid(node_id: str, label: str, language: str, text: str) -> bool:
 def verdict(node_id: str, label: str, path: str, text: str) -> str:
     """``ok``, the language that accepts the text instead, or ``corrupt``."""
     language = claimed(path)
-    if valid(node_id, label, language, text):
-        return "ok"
-    for other in ranked(text):
-        if other != language and text.strip() and valid(node_id, label, other, text):
-            return other
-    return "corrupt"
+    foreign = None
+    for name in ranked(text):
+        if name == language:
+            if valid(node_id, label, name, text):
+                return "ok"
+        elif foreign is None and text.strip() and valid(node_id, label, name, text):
+            foreign = name
+    return foreign or "corrupt"
 
 
 def _path() -> Column:

@@ -1,8 +1,10 @@
 """Nothing is cut off: long values, long comments, deep nesting, values far outside the rest."""
 
+import sys
+
 import pytest
 
-from evidar.llm import credentials, handwritten
+from evidar.llm import credentials, grammars, handwritten, syntax
 
 
 def find(text, path="a.py"):
@@ -52,3 +54,17 @@ def test_versions_of_a_copy_and_short_lines():
         text = " ".join(words[:drop] + ["other"] + words[drop + 1:])
         a, b = ({tuple(x[i: i + 5]) for i in range(len(x) - 4)} for x in (text.split(), words))
         assert abs(handwritten._Upstream([" ".join(words)]).copied(text) - len(a & b) / min(len(a), len(b))) < 1e-9
+
+
+def test_deep_texts():
+    n = 3_000
+    assert grammars.parses("javascript", "(" * n + "1" + ")" * n) and not grammars.parses("javascript", "(" * n + "1" + ")" * (n - 1))
+    assert grammars.parses("javascript", "if (a) { b(); }" + " else if (a) { b(); }" * n) and grammars.parses("swift", "if a { b() }" + " else if a { b() }" * n)
+    assert grammars.parses("javascript", "x = `" + "${`" * 60 + "`}" * 60 + "`") and grammars.parses("swift", "let x = " + "[" * n + "1" + "]" * n)
+    assert grammars.parses("python", "+".join(["1"] * 20_000)) and grammars.parses("python", "a" + ".b" * 20_000) and not grammars.parses("python", "+".join(["1"] * 20_000) + "+")
+    assert sys.getrecursionlimit() < 100_000
+
+
+def test_every_text_is_ranked_and_foreign_endings_are_told():
+    for path, text, want in (("a.py", "x = 1", "ok"), ("a.py", "const a = () => { return 1; };", "javascript"), ("a.js", "func f() -> Int { return 1 }", "swift"), ("a.js", "def (:", "corrupt"), ("a.swift", "import os\n\ndef f():\n    pass\n", "python")):
+        assert syntax.verdict("p:" + path, "Module", path, text) == want

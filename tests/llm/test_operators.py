@@ -118,8 +118,10 @@ def test_fusion_against_brute_force(spark):
         mine = {3: x.bm25, 4: x.cos, 5: x.fused_score}
         best = all(mine[k] is not None and sum(y[k] is not None and y[k] > mine[k] for y in group) < -(-len(group) // 10) for k in scores)
         assert x.best_tenth == best
-        whole = [y.combined for y in got if y.n == x.n and y.combined is not None]
-        assert x.rank == 1 + (sum(c > x.combined for c in whole) if x.combined is not None else len(whole))
+        # by the unrounded logarithm, then by how far out the scores are: finer than ``combined``, and never against it
+        whole = [(y.log_combined, y.beyond) for y in got if y.n == x.n and y.combined is not None]
+        assert x.rank == 1 + (sum(c > (x.log_combined, x.beyond) for c in whole) if x.combined is not None else len(whole))
+        assert x.combined is None or all(y.rank <= x.rank for y in got if y.n == x.n and y.combined is not None and y.combined > x.combined)
     big = fusion.fused(spark.createDataFrame([(1, "doc", f"d{i}", 1e6 * i, float(9 - i), None) for i in range(10)], "n int, section string, id string, bm25 double, cos double, fused_score double"))
     assert abs(big.select(F.corr("bm25", "combined")).first()[0]) < 0.2  # neither score rules
     assert fusion.fused(spark.createDataFrame([], "n int, section string, id string, bm25 double, cos double, fused_score double")).count() == 0

@@ -1,10 +1,11 @@
 """Nothing is cut off: long values, long comments, deep nesting, values far outside the rest."""
 
+import random
 import sys
 
 import pytest
 
-from evidar.llm import credentials, grammars, handwritten, syntax
+from evidar.llm import credentials, fusion, grammars, handwritten, syntax
 
 
 def find(text, path="a.py"):
@@ -68,3 +69,24 @@ def test_deep_texts():
 def test_every_text_is_ranked_and_foreign_endings_are_told():
     for path, text, want in (("a.py", "x = 1", "ok"), ("a.py", "const a = () => { return 1; };", "javascript"), ("a.js", "func f() -> Int { return 1 }", "swift"), ("a.js", "def (:", "corrupt"), ("a.swift", "import os\n\ndef f():\n    pass\n", "python")):
         assert syntax.verdict("p:" + path, "Module", path, text) == want
+
+
+CAND = "n int, section string, id string, bm25 double, cos double, fused_score double"
+
+
+def test_outliers_keep_their_order(spark):
+    rows = [(1, "doc", f"d{i}", float(i % 7), float(i % 5), None) for i in range(30)] + [(1, "doc", f"far{k}", x, 4.0, None) for k, x in enumerate((5e3, 9e3, 1e7))] + [(1, "doc", "low", -1e9, 4.0, None)]
+    got = {x.id: x for x in fusion.ranked(fusion.fused(spark.createDataFrame(rows, CAND))).collect()}
+    assert [got[f"far{k}"].rank for k in (2, 1, 0)] == [1, 2, 3] and got["low"].rank == len(rows)
+    assert all(0 <= x.combined <= 1 for x in got.values()) and got["far2"].combined < 1
+
+
+def test_large_groups_give_the_same(spark):
+    r = random.Random(21)
+    v = lambda: r.choice((None, float(r.randrange(6)), r.random() * 10**r.randrange(6)))
+    rows = [(r.choice((1, 1, 1, 2, None)), r.choice(("doc", "code")), f"i{i}", v(), v(), v()) for i in range(300)]
+    df = spark.createDataFrame(rows + rows[:20], CAND)
+    small = fusion.ranked(fusion.fused(df)).collect()
+    large = fusion.ranked(fusion.fused(df, large=40), large=40).collect()
+    told = lambda rows: sorted((str(x.n), x.section, x.id, x.rank, x.best_tenth, round(x.combined, 9) if x.combined is not None else -1.0) for x in rows)
+    assert told(small) == told(large) and len(small) == 300

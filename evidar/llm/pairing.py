@@ -17,6 +17,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evidar.tables import durable, stored
+
 from .grammars import SUFFIX, parses
 from .syntax import claimed, valid
 
@@ -159,9 +161,9 @@ def entries(heading: str | None, text: str) -> list[tuple[str, str]]:
                 current = [names(m.group(1)), [], kind]
                 continue
             if m := _ITEM.match(line):
+                # the description may go on, or begin, on the indented lines that follow
                 close()
-                if m.group(2):
-                    found.extend((n, m.group(2)) for n in names(m.group(1)))
+                current = [names(m.group(1)), [m.group(2) or ""], "indented"]
                 continue
             if line.startswith("#") or (line.strip() and _UNDERLINE.match(follows) and not _UNDERLINE.match(line)) or (current is not None and current[2] == "indented" and line.strip() and not line[0].isspace()):
                 close()
@@ -173,11 +175,13 @@ def entries(heading: str | None, text: str) -> list[tuple[str, str]]:
 
 
 def own_descriptions(nodes: DataFrame, code: bool = False) -> DataFrame:
-    """(id, dotted, description, code) of every Function that parses; description is null without one of its own."""
-    path = F.coalesce("file", "name")
+    """(id, dotted, described, description, code) of every Function that parses; description is null without one of its own.
+
+    With ``code`` false the last two are null, and a row is as small as an id.
+    """
     ending = "(?:" + "|".join(re.escape(s) for s in SUFFIX) + ")$"
     # a Function's file may be null; its path then is the second part of its id
-    path = F.coalesce("file", F.element_at(F.split("id", ":"), 2))
+    path = F.coalesce("file", F.get(F.split("id", ":"), 1))
     rows = nodes.where((F.col("label") == "Function") & F.col("id").isNotNull() & F.col("source").isNotNull() & path.rlike(ending)).select("id", "name", path.alias("path"), "source")
 
     def run(batches):
@@ -185,7 +189,7 @@ def own_descriptions(nodes: DataFrame, code: bool = False) -> DataFrame:
 
         warnings.simplefilter("ignore", SyntaxWarning)
         for batch in batches:
-            ids, dots, words, codes = [], [], [], []
+            ids, dots, told, words, codes = [], [], [], [], []
             for i, name, p, text in zip(*(c.to_pylist() for c in batch.columns)):
                 language = claimed(p)
                 if not valid(i, "Function", language, text):
@@ -193,11 +197,12 @@ def own_descriptions(nodes: DataFrame, code: bool = False) -> DataFrame:
                 got = describe(text, language, name or i.rsplit(":", 1)[-1])
                 ids.append(i)
                 dots.append(dotted(p, i))
-                words.append(got[0] if got else None)
+                told.append(got is not None)
+                words.append(got[0] if got and code else None)
                 codes.append((got[1] if got else text) if code else None)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (ids, dots, words, codes)], ["id", "dotted", "description", "code"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(dots, pa.string()), pa.array(told, pa.bool_()), pa.array(words, pa.string()), pa.array(codes, pa.string())], ["id", "dotted", "described", "description", "code"])
 
-    return rows.mapInArrow(run, "id string, dotted string, description string, code string")
+    return rows.mapInArrow(run, "id string, dotted string, described boolean, description string, code string")
 
 
 def chunk_descriptions(chunks: DataFrame) -> DataFrame:
@@ -224,10 +229,18 @@ def pairs(nodes: DataFrame, chunks: DataFrame, code: bool = True) -> DataFrame:
     ``origin`` is the function's own id for its docstring or the comment above it,
     a chunk's id for an entry there; a function may have several.  Functions that
     don't parse, have no source or no description that says something are left out;
-    repeated rows count once; without chunks only own descriptions come out.
+    equal rows count once, and a function indexed with different sources has a row
+    for each; without chunks only own descriptions come out.  With ``code`` false
+    there are only func_id and origin.
+
+    Every source is read once: what it gives is stored and serves both origins.
     """
-    own = own_descriptions(nodes, code).groupBy("id", "dotted").agg(F.max("description").alias("description"), F.max("code").alias("code"))
-    told = chunk_descriptions(chunks).groupBy("dotted", "chunk").agg(F.max("description").alias("said"))
-    inside = own.where("description is not null").select(F.col("id").alias("func_id"), F.col("id").alias("origin"), "description", "code")
-    outside = own.join(told, "dotted").select(F.col("id").alias("func_id"), F.col("chunk").alias("origin"), F.col("said").alias("description"), "code")
-    return inside.unionByName(outside)
+    columns = ["id", "dotted", "described", *(["description", "code"] if code else [])]
+    own = own_descriptions(nodes, code).select(*columns).distinct()
+    own = stored(own) if code else durable(own)
+    told = chunk_descriptions(chunks).groupBy("dotted", "chunk").agg(F.max("description").alias("said")) if code else chunk_descriptions(chunks).select("dotted", "chunk").distinct()
+    extra = ["description", "code"] if code else []
+    inside = own.where("described").select(F.col("id").alias("func_id"), F.col("id").alias("origin"), *extra)
+    outside = own.join(told, "dotted").select(F.col("id").alias("func_id"), F.col("chunk").alias("origin"), *([F.col("said").alias("description"), "code"] if code else []))
+    both = inside.unionByName(outside)
+    return both if code else both.distinct()

@@ -22,7 +22,7 @@ def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return splitting.pieces(read(spark, d, "chunk")).select("id").distinct()
+    return splitting.oversized(read(spark, d, "chunk"))
 
 
 def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
@@ -62,7 +62,7 @@ def p6_ranking(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return pairing.pairs(read(spark, d, "node"), read(spark, d, "chunk"), code=False).select("func_id", "origin")
+    return pairing.pairs(read(spark, d, "node"), read(spark, d, "chunk"), code=False)
 
 
 def p7_pairs(spark: SparkSession, d: str) -> DataFrame:

@@ -123,14 +123,14 @@ def _children(text: str, kind: str, start: int, end: int, level: int) -> list[tu
 _NEXT = {"section": "body", "body": "block", "block": "item", "item": "line", "line": "sentence", "sentence": "word"}
 
 
-def _pack(text: str, kind: str, start: int, end: int, level: int, limit: int) -> list[tuple[int, int]]:
-    """Consecutive spans of at most ``limit`` characters that make up the node."""
-    if end - start <= limit:
+def _pack(text: str, kind: str, start: int, end: int, level: int, limit: int, first: int) -> list[tuple[int, int]]:
+    """Consecutive spans of at most ``limit`` characters, ``first`` for one that begins the text, that make up the node."""
+    if end - start <= (limit if start else first):
         return [(start, end)]
     if kind == "word":
         out = []
         while start < end:
-            stop = min(start + limit, end)
+            stop = min(start + (limit if start else first), end)
             if stop < end and text[stop - 1] == "\r" and text[stop] == "\n":
                 stop -= 1
             out.append((start, stop))
@@ -138,11 +138,11 @@ def _pack(text: str, kind: str, start: int, end: int, level: int, limit: int) ->
         return out
     parts = _children(text, kind, start, end, level)
     if len(parts) < 2:
-        return _pack(text, parts[0][0], start, end, parts[0][3], limit) if parts else _pack(text, _NEXT[kind], start, end, level, limit)
+        return _pack(text, parts[0][0], start, end, parts[0][3], limit, first) if parts else _pack(text, _NEXT[kind], start, end, level, limit, first)
     packed: list[tuple[int, int]] = []
     for k, a, b, v in parts:
-        spans = _pack(text, k, a, b, v, limit)
-        if packed and len(spans) == 1 and b - packed[-1][0] <= limit:
+        spans = _pack(text, k, a, b, v, limit, first)
+        if packed and len(spans) == 1 and b - packed[-1][0] <= (limit if packed[-1][0] else first):
             packed[-1] = (packed[-1][0], b)
         else:
             packed += spans
@@ -168,7 +168,7 @@ def split(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[i
     if len(text) <= limit:
         return [(0, 0, len(text))]
     out = []
-    for start, end in _pack(text, "section", 0, len(text), 0, limit - overlap):
+    for start, end in _pack(text, "section", 0, len(text), 0, limit - overlap, limit):
         begin = start if not out or not overlap else _back(text, start, max(out[-1][0] + 1, start - overlap))
         out.append((begin, start, end))
     return out
@@ -183,22 +183,33 @@ def pieces(df: DataFrame, key: str = "id", text: str = "text", heading: str = "h
     null, empty and short texts none.  Joining each piece's text from ``overlap`` on
     gives the text back exactly.
     """
-    rows = df.select(df[key].alias("id"), df[heading].alias("heading"), df[text].alias("text")).where(F.length("text") > limit).distinct()
+    return _split(_oversized(df, key, text, heading, limit).distinct(), limit, overlap)
 
+
+def oversized(df: DataFrame, key: str = "id", text: str = "text", heading: str = "heading", limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+    """(id): keys of the rows that were cut, once each; texts are cut where they lie and only keys are shuffled."""
+    return _split(_oversized(df, key, text, heading, limit), limit, overlap, texts=False).select("id").distinct()
+
+
+def _oversized(df: DataFrame, key: str, text: str, heading: str, limit: int) -> DataFrame:
+    return df.select(df[key].alias("id"), df[heading].alias("heading"), df[text].alias("text")).where(F.length("text") > limit)
+
+
+def _split(rows: DataFrame, limit: int, overlap: int, texts: bool = True) -> DataFrame:
     def run(batches):
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
                 part = batch.slice(i, 64)
-                take, number, at, over, texts = [], [], [], [], []
+                take, number, at, over, out = [], [], [], [], []
                 for row, t in enumerate(part.column(2).to_pylist()):
                     for n, (a, b, c) in enumerate(split(t, limit, overlap)):
                         take.append(row)
                         number.append(n)
                         at.append(b)
                         over.append(b - a)
-                        texts.append(t[a:c])
+                        out.append(t[a:c] if texts else None)
                 keep = part.take(pa.array(take, pa.int32()))
-                yield pa.RecordBatch.from_arrays([keep.column(0), keep.column(1), pa.array(number, pa.int32()), pa.array(at, pa.int32()), pa.array(over, pa.int32()), pa.array(texts, pa.string())], ["id", "heading", "piece", "new_at", "overlap", "text"])
+                yield pa.RecordBatch.from_arrays([keep.column(0), keep.column(1), pa.array(number, pa.int32()), pa.array(at, pa.int32()), pa.array(over, pa.int32()), pa.array(out, pa.string())], ["id", "heading", "piece", "new_at", "overlap", "text"])
 
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(run, f"id {kind}, heading string, piece int, new_at int, overlap int, text string")

@@ -5,7 +5,7 @@ import sys
 
 import pytest
 
-from evidar.llm import credentials, fusion, grammars, handwritten, syntax
+from evidar.llm import credentials, fusion, grammars, handwritten, pairing, splitting, syntax
 
 
 def find(text, path="a.py"):
@@ -90,3 +90,13 @@ def test_large_groups_give_the_same(spark):
     large = fusion.ranked(fusion.fused(df, large=40), large=40).collect()
     told = lambda rows: sorted((str(x.n), x.section, x.id, x.rank, x.best_tenth, round(x.combined, 9) if x.combined is not None else -1.0) for x in rows)
     assert told(small) == told(large) and len(small) == 300
+
+
+def test_first_piece_uses_its_whole_limit():
+    spans = splitting.split("word " * 1000, 1600, 200)
+    assert spans[0][2] == 1600 and all(c - a <= 1600 for a, _, c in spans)
+
+
+def test_entries_go_on_below_their_bullets():
+    text = "* `a.b.f`\n  Adds numbers\n  to a list.\n* `a.b.g` - Gives one\n  item back.\n\nOther words.\n"
+    assert pairing.entries(None, text) == [("a.b.f", "Adds numbers\n  to a list."), ("a.b.g", "Gives one\n  item back.")]

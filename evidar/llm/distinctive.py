@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evidar.operators.graph import last_version
 from evidar.operators.skew import lookup
 from evidar.tables import stored
 
@@ -49,13 +50,11 @@ def records(units: DataFrame, reports: DataFrame) -> DataFrame:
     text is taken.  Rows with a null key are no records.
     """
     blank = F.lit("")
-    commits = units.where("h is not null").groupBy("h").agg(F.max(F.struct("loaded_at", F.coalesce("msg", blank).alias("text"))).alias("x"))
-    issues = reports.where("n is not null").groupBy("n").agg(
-        F.max(F.struct("fetched_at", F.concat(F.coalesce("title", blank), F.lit("\n"), F.coalesce("body", blank)).alias("text"))).alias("x")
-    )
-    return commits.select(F.lit("unit").alias("kind"), F.col("h").alias("rec"), "x.text").unionByName(
-        issues.select(F.lit("report").alias("kind"), F.col("n").cast("string").alias("rec"), "x.text")
-    )
+    commits = units.where("h is not null").select(F.col("h").alias("key"), F.coalesce("msg", blank).alias("text"), F.col("loaded_at").alias("at"))
+    issues = reports.where("n is not null").select(F.col("n").cast("string").alias("key"), F.concat(F.coalesce("title", blank), F.lit("\n"), F.coalesce("body", blank)).alias("text"), F.col("fetched_at").alias("at"))
+    # only the texts of records that come several times are compared; the others aren't moved for it
+    newest = lambda rows, kind: last_version(rows, ["key"], F.col("at")).select(F.lit(kind).alias("kind"), F.col("key").alias("rec"), "text")
+    return newest(commits, "unit").unionByName(newest(issues, "report"))
 
 
 def postings(recs: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -27,10 +27,10 @@ from . import tokenizer
 
 #: most sources with a target; the schedule holds their weights
 SOURCES = 10_000
-#: no block has fewer tokens than this on average
-LEAST_BLOCK = 512
-#: blocks the smallest source's part of the mix is cut into, if they don't get too small
+#: blocks the smallest source's part of the mix is cut into; a block shorter than a record may have none
 BLOCKS = 256
+#: rows of a source that meet in one task while its records are put in order
+CELL_ROWS = 20_000
 _GOLDEN = 0x9E3779B97F4A7C15  # 2^64 / golden ratio (fixed value)
 
 
@@ -55,11 +55,12 @@ def plan(sized: DataFrame, targets: DataFrame, size: int | None = None) -> tuple
     whole = sum(r["share"] for r in rows)
     most = min(r["tokens"] * r["max_repeat"] * whole / r["share"] for r in rows)
     total = most if size is None else size
-    block = max(LEAST_BLOCK, total * min(r["share"] for r in rows) / whole / BLOCKS)
+    block = max(1.0, total * min(r["share"] for r in rows) / whole / BLOCKS)
     for r in rows:
         r["blocks"] = max(1, round(r["tokens"] / block))
         r["block"] = r["tokens"] / r["blocks"]
         r["weight"] = r["share"] / whole / r["block"]
+        r["target"] = r["share"] / whole * total
     slots = sum(r["weight"] for r in rows) * total
     return rows, max(1, round(slots))
 
@@ -94,7 +95,7 @@ def mix(records: DataFrame, targets: DataFrame, key: str = "doc_id", text: str =
     table = spark.createDataFrame([(i, r["source"], float(r["block"]), r["blocks"], r["max_repeat"]) for i, r in enumerate(rows)], "place int, source string, block double, blocks bigint, max_repeat int")
     # the plan is bounded by SOURCES, so it may be broadcast
     own = sized.where("tokens > 0").join(F.broadcast(table.select("place", "source", "block", "blocks")), "source")
-    own = running_total(own, "place", F.xxhash64(F.lit(seed), "key").bitwiseAND(F.lit((1 << 62) - 1)), F.col("tokens"), "start", cells=1024, tie=["key"])
+    own = running_total(own, "place", F.xxhash64(F.lit(seed), "key").bitwiseAND(F.lit((1 << 62) - 1)), F.col("tokens"), "start", cells=max(16, sized.count() // CELL_ROWS), tie=["key"])
     own = own.withColumn("number", F.least(F.floor(F.col("start") / F.col("block")), F.col("blocks") - 1))
     turns = (
         schedule(spark, rows, slots)
@@ -102,7 +103,22 @@ def mix(records: DataFrame, targets: DataFrame, key: str = "doc_id", text: str =
         .select("slot", "place", F.expr("k div blocks").cast("int").alias("use"), F.expr("k % blocks").alias("number"), "max_repeat")
         .where("use < max_repeat")
     )
-    return turns.join(own, ["place", "number"]).select("slot", "source", F.col("key").alias(key), "use", "tokens")
+    mixed = durable(turns.join(own, ["place", "number"]).select("place", "slot", "source", "key", "use", "tokens"))
+    return _trimmed(mixed, rows).select("slot", "source", F.col("key").alias(key), "use", "tokens")
+
+
+def _trimmed(mixed: DataFrame, rows: list[dict]) -> DataFrame:
+    """The mix without, of each source, the one use of a record that brings it nearest to its share.
+
+    Blocks end with the record that passes their end, so a source has up to a record
+    too much; of all its uses the one is left out whose size is nearest to that.
+    """
+    over = mixed.groupBy("place").agg(F.sum("tokens").alias("tokens")).collect()  # a row per source of the plan
+    over = [(r.place, float(r.tokens - rows[r.place]["target"])) for r in over]
+    table = mixed.sparkSession.createDataFrame([x for x in over if x[1] > 0], "place int, over double")
+    off = F.abs(F.col("tokens") - F.col("over"))
+    spare = mixed.join(F.broadcast(table), "place").where(off < F.col("over")).groupBy("place").agg(F.min(F.struct(off, "slot", "key")).alias("x"))
+    return mixed.join(F.broadcast(spare.select("x.slot", "x.key")), ["slot", "key"], "left_anti")
 
 
 def shares(mixed: DataFrame, targets: DataFrame, key: str = "doc_id") -> DataFrame:

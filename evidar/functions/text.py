@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ PASCAL_STOP = (
 ).split()
 # fixed values: keywords with which a commit closes a report; merge and squash marks
 CLOSES = r"(?i)\b(?:close[sd]?|fix(?:e[sd])?|resolve[sd]?)\b\s*:?\s*#(\d+)"
+_CLOSES_IN = r"(?i)\b(?:close[sd]?|fix(?:e[sd])?|resolve[sd]?)\b\s*:?\s*(?:https?://github\.com/{slug}/issues/|{slug}#|#)(\d+)"
 _WHOLE = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"  # ends of words in any script
 MERGED, SQUASHED = r"^Merge pull request #(\d+)", r"\(#(\d+)\)\s*$"
 
@@ -43,9 +46,16 @@ def pr_of(message: Column) -> Column:
     return F.coalesce(F.try_to_number(F.nullif(merged, F.lit("")), F.lit("999999999")), F.try_to_number(F.nullif(squashed, F.lit("")), F.lit("999999999"))).cast("int")
 
 
-def closed_reports(text: Column) -> Column:
-    """Numbers a text closes by keyword, distinct and ascending."""
-    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(CLOSES), 1), lambda x: x.cast("bigint"))))
+def closed_reports(text: Column, slug: str | None = None) -> Column:
+    """Numbers a text closes by keyword, distinct and ascending; with a ``slug`` also in that repository's long form or address."""
+    pattern = _CLOSES_IN.replace("{slug}", re.escape(slug)) if slug else CLOSES
+    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(pattern), 1), lambda x: x.cast("bigint"))))
+
+
+def slug(remote: Column) -> Column:
+    """owner/name of an address on the usual host, in any of its forms; null for others."""
+    found = F.regexp_extract(remote, r"github\.com[:/]+([^/]+/[^/]+?)(?:\.git)?/?$", 1)
+    return F.nullif(found, F.lit(""))
 
 
 def qualified(node_id: Column) -> Column:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidar.functions.text import is_bugfix
+from evidar.functions.text import hunk_body, is_bugfix, module_name
 from evidar.tables import durable
 
-from . import index
+from . import blocks, index
 from .rank import DEPTH, RRF_K, ranked
 
 #: most elements a commit may touch; weight of recency; weight of code names
@@ -35,35 +35,84 @@ def fix_recency(units: DataFrame, at: int | None = None) -> DataFrame:
     return touches(units.where(is_bugfix(F.coalesce("msg", F.lit(""))))).groupBy("key").agg(F.sum(1.0 / (1.0 + F.exp(-12.0 * age + 12.0))).alias("fix"))
 
 
-def message_scores(queries: DataFrame, units: DataFrame, query_key: str) -> DataFrame:
-    """(query, h, cos): cosine of query and commit text under tf-idf of the commits, where positive."""
-    post = durable(index.postings(units.withColumn("text", F.coalesce("msg", F.lit(""))), ["h"], F.col("text")))
+def linked_texts(units: DataFrame, reports: DataFrame, linked: DataFrame) -> DataFrame:
+    """(h, text): a commit's message with the titles and bodies of the reports linked to it (h, n, own), closed ones before its own pull request."""
+    told = reports.select(F.col("n").cast("bigint").alias("n"), F.concat(F.lit("\n"), F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("body", F.lit(""))).alias("said"))
+    more = linked.join(told, "n").groupBy("h").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("own", "n", "said"))), lambda x: x["said"]), "").alias("said"))
+    return units.select("h", F.coalesce("msg", F.lit("")).alias("msg")).join(more, "h", "left").select("h", F.concat("msg", F.coalesce("said", F.lit(""))).alias("text"))
+
+
+def before(units: DataFrame, ancestors: DataFrame, snapshot: str) -> DataFrame:
+    """Commits that a snapshot comes from; ``ancestors`` has (snapshot, h)."""
+    return units.join(ancestors.where(F.col("snapshot") == snapshot).select("h"), "h", "left_semi")
+
+
+def message_scores(queries: DataFrame, units: DataFrame, query_key: str, depth: int | None = None, terms=index.tokenize_code) -> DataFrame:
+    """(query, h, cos): cosine of query and commit text under tf-idf of the commits, where positive; with ``depth`` the best of each query.
+
+    The text of a commit is its ``text`` if there is one, else its message.
+    """
+    text = F.col("text") if "text" in units.columns else F.coalesce("msg", F.lit(""))
+    post = durable(index.postings(units.select("h", text.alias("text")), ["h"], F.col("text"), terms))
     df, count = index.frequencies(post), units.count()
     docs = index.tfidf(post, df, ["h"], count)
-    asked = index.tfidf(index.postings(queries, [query_key], F.col("text")), df, [query_key], count)
-    return index.dot(asked, docs, [query_key, "h"]).select(query_key, "h", F.round("score", 9).alias("cos")).where("cos > 0")
+    asked = index.tfidf(index.postings(queries, [query_key], F.col("text"), terms), df, [query_key], count)
+    return blocks.products(asked, docs, query_key, "h", depth, post.count()).select(query_key, "h", F.round("score", 9).alias("cos")).where("cos > 0")
 
 
-def message_rank(queries: DataFrame, units: DataFrame, listed: DataFrame, elements: DataFrame, query_key: str, depth: int = DEPTH) -> DataFrame:
-    """(query, key, score, rank): elements by their best commit.
+def commit_scores(queries: DataFrame, fit: DataFrame, listed: DataFrame, query_key: str, terms=index.tokenize_code) -> DataFrame:
+    """(query, h, t, cos, best, s): commits in the list by text or in the list by code, and what both give them.
 
     A commit's score adds 1 / (60 + rank) in the list by text and in the list by the
-    best rank of its elements in ``listed`` (query, key, rank).  Ties go to the newer
-    commit, then by hash.
+    best rank of its elements in ``listed`` (query, key, rank); ``cos`` is 0 and
+    ``best`` null where it isn't in one.  Ties go to the newer commit, then by hash.
     """
-    fit = durable(units.join(eligible(units, elements).select("h"), "h", "left_semi").select("h", "t", "msg", "touch"))
     touched = touches(fit)
-    text = ranked(message_scores(queries, fit, query_key).join(fit.select("h", "t"), "h"), query_key, [F.desc("cos"), F.desc("t"), F.asc("h")])
+    text = ranked(message_scores(queries, fit, query_key, terms=terms).join(fit.select("h", "t"), "h"), query_key, [F.desc("cos"), F.desc("t"), F.asc("h")])
     near = touched.join(listed.select(query_key, "key", "rank"), "key").groupBy(query_key, "h").agg(F.min("rank").alias("best"), F.max("t").alias("t"))
     near = ranked(near, query_key, [F.asc("best"), F.desc("t"), F.asc("h")])
-    # what a commit scores is one row per query and commit with a common term
-    scored = text.select(query_key, "h", "rank").unionByName(near.select(query_key, "h", "rank")).groupBy(query_key, "h").agg(F.sum(1.0 / (RRF_K + F.col("rank"))).alias("s"))
-    best = scored.join(touched.select("h", "key"), "h").join(elements.select("key"), "key", "left_semi").groupBy(query_key, "key").agg(F.round(F.max("s"), 9).alias("score"))
+    none = F.lit(None)
+    both = text.select(query_key, "h", "t", "cos", none.cast("bigint").alias("best"), "rank").unionByName(near.select(query_key, "h", "t", F.lit(0.0).alias("cos"), F.col("best").cast("bigint").alias("best"), "rank"))
+    return both.groupBy(query_key, "h").agg(F.max("t").alias("t"), F.max("cos").alias("cos"), F.max("best").alias("best"), F.sum(1.0 / (RRF_K + F.col("rank"))).alias("s"))
+
+
+def message_rank(queries: DataFrame, units: DataFrame, listed: DataFrame, elements: DataFrame, query_key: str, depth: int = DEPTH, terms=index.tokenize_code) -> DataFrame:
+    """(query, key, score, rank): elements by their best commit, of those ``eligible`` lets through."""
+    fit = durable(units.join(eligible(units, elements).select("h"), "h", "left_semi"))
+    scored = commit_scores(queries, fit, listed, query_key, terms)
+    best = scored.join(touches(fit).select("h", "key"), "h").join(elements.select("key"), "key", "left_semi").groupBy(query_key, "key").agg(F.round(F.max("s"), 9).alias("score"))
     return ranked(best, query_key, [F.desc("score"), F.asc("key")], depth)
 
 
-def locus(queries: DataFrame, hunks: DataFrame, units: DataFrame, names: DataFrame, elements: DataFrame, query_key: str, words, codes, depth: int = DEPTH) -> DataFrame:
-    """(query, key, score, rank): best hunk of an element, in words and in code names, plus recency of its fixes.
+def message_pool(queries: DataFrame, units: DataFrame, listed: DataFrame, elements: DataFrame, query_key: str, size: int = 10, terms=index.tokenize_code) -> DataFrame:
+    """(query, h, t, cos, best, s, rank): the commits that say most, ties to the newer one, then by hash."""
+    fit = durable(units.join(eligible(units, elements).select("h"), "h", "left_semi"))
+    scored = commit_scores(queries, fit, listed, query_key, terms).withColumn("s", F.round("s", 9))
+    return ranked(scored, query_key, [F.desc("s"), F.desc("t"), F.asc("h")], size)
+
+
+def pool_hunks(pool: DataFrame, hunks: DataFrame, query_key: str, size: int = 10) -> DataFrame:
+    """(query, u, f, k, text, rank): the hunks of a pool's commits, in the order of the pool, as evidence."""
+    rows = pool.drop("rank").join(hunks.select(F.col("u").alias("h"), "f", "k", "text"), "h")
+    return ranked(rows, query_key, [F.desc("s"), F.desc("t"), F.asc("h"), F.asc("f"), F.asc("k")], size).select(query_key, F.col("h").alias("u"), "f", "k", "text", "rank")
+
+
+def hunk_documents(hunks: DataFrame, units: DataFrame, message: int = 2000) -> DataFrame:
+    """(hunk, ids, text): what a hunk (u, f, k, ids, text) says: its lines without marks, and the beginning of its commit's message."""
+    said = units.select(F.col("h").alias("u"), F.substring(F.coalesce("msg", F.lit("")), 1, message).alias("msg"))
+    text = F.concat(hunk_body(F.col("text")), F.lit("\n"), F.coalesce("msg", F.lit("")))
+    return hunks.join(said, "u", "left").select(F.concat_ws("|", "u", "f", F.col("k").cast("string")).alias("hunk"), "ids", text.alias("text"))
+
+
+def graph_names(nodes: DataFrame) -> DataFrame:
+    """(term): names of functions and classes, and dotted names of Python modules, as reports write them."""
+    own = nodes.where("label <> 'Module' and name <> ''").select(F.col("name").alias("term"))
+    modules = nodes.where("label = 'Module'").where(F.coalesce("file", "name").endswith(".py")).select(module_name(F.coalesce("file", "name")).alias("term"))
+    return own.unionByName(modules).distinct()
+
+
+def locus(queries: DataFrame, hunks: DataFrame, units: DataFrame, names: DataFrame, elements: DataFrame, query_key: str, words, codes, depth: int = DEPTH, at: int | None = None) -> DataFrame:
+    """(query, key, score, rank): best hunk of an element, in words and in code names, plus recency of its fixes at a time (``at``).
 
     ``hunks`` has (hunk, key list ``ids``, text), ``queries`` (key, text), ``names``
     (term): code terms count only if they are names.  ``words`` and ``codes`` make
@@ -77,7 +126,7 @@ def locus(queries: DataFrame, hunks: DataFrame, units: DataFrame, names: DataFra
         if allowed:
             post, asked = post.join(names, "term", "left_semi"), asked.join(names, "term", "left_semi")
         df = index.frequencies(post)
-        return index.dot(index.tfidf(asked, df, [query_key], count), index.tfidf(post, df, ["hunk"], count), [query_key, "hunk"]), asked
+        return blocks.products(index.tfidf(asked, df, [query_key], count), index.tfidf(post, df, ["hunk"], count), query_key, "hunk", count=post.count()), asked
 
     natural, _ = side(words, False)
     code, asked = side(codes, True)
@@ -88,7 +137,7 @@ def locus(queries: DataFrame, hunks: DataFrame, units: DataFrame, names: DataFra
     both = natural.withColumnRenamed("score", "nl").join(code.withColumnRenamed("score", "ce"), [query_key, "hunk"], "full").join(alpha, query_key)
     both = both.select(query_key, "hunk", (F.coalesce("nl", F.lit(0.0)) + F.col("alpha") * F.coalesce("ce", F.lit(0.0))).alias("s"))
     best = durable(both.join(hunks.select("hunk", F.explode("ids").alias("key")), "hunk").groupBy(query_key, "key").agg(F.max("s").alias("best")))
-    fix = durable(fix_recency(units))
+    fix = durable(fix_recency(units, at))
     # of elements with fixes only, no more than depth can be in a list: the best 2 * depth suffice
     top = ranked(fix.join(elements.select("key"), "key", "left_semi").withColumn("one", F.lit(1)), "one", [F.desc("fix"), F.asc("key")], 2 * depth)
     spare = top.groupBy("one").agg(F.collect_list("key").alias("keys"))  # one row that holds 2 * depth keys

@@ -15,8 +15,11 @@ def postings(docs: DataFrame, key: list[str], text: Column, terms=tokenize_code)
     """(key, term, tf): how often each term comes in each document; ``terms`` makes an array of terms from the text.
 
     Documents without terms and null texts have no rows; rows with equal keys are one document.
+    Texts are shuffled by key before they become terms: a text is smaller than its
+    postings, and these are then counted where they are.
     """
-    return docs.select(*key, F.explode(terms(text)).alias("term")).groupBy(*key, "term").agg(F.count("*").alias("tf"))
+    rows = docs.select(*key, text.alias("text__")).repartition(*key)
+    return rows.select(*key, F.explode(terms(F.col("text__"))).alias("term")).groupBy(*key, "term").agg(F.count("*").alias("tf"))
 
 
 def frequencies(post: DataFrame) -> DataFrame:
@@ -42,15 +45,3 @@ def tfidf(post: DataFrame, df: DataFrame, key: list[str], count: int, smooth: bo
     norm = raw.groupBy(*[F.col(k).alias(f"{k}__key") for k in key]).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
     on = [F.col(k) == F.col(f"{k}__key") for k in key]
     return raw.join(norm, on).select(*key, "term", F.when(F.col("norm") > 0, F.col("raw") / F.col("norm")).otherwise(0.0).alias("w"))
-
-
-def dot(left: DataFrame, right: DataFrame, keys: list[str], salt: int = 8) -> DataFrame:
-    """(keys, score): sums of products over shared terms of two weighted postings.
-
-    ``left`` is the smaller side; it is repeated once per salt so that a frequent
-    term of the larger side is spread over ``salt`` tasks.
-    """
-    a = left.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-    own = [k for k in keys if k in right.columns]
-    b = right.withColumn("salt", F.pmod(F.xxhash64(*own), F.lit(salt)).cast("int"))
-    return a.withColumnRenamed("w", "w_left").join(b.withColumnRenamed("w", "w_right"), ["term", "salt"]).groupBy(*keys).agg(F.sum(F.col("w_left") * F.col("w_right")).alias("score"))

@@ -8,16 +8,19 @@ from pyspark.sql import functions as F
 from evidar.functions.text import closed_reports, pr_of
 from evidar.tables import durable
 
-from . import index
+from . import blocks, index
 from .rank import DEPTH, ranked
 
 
-def closing_links(units: DataFrame, reports: DataFrame) -> DataFrame:
-    """(n, h): reports that a commit's message, or the text of its pull request, closes by keyword."""
+def closing_links(units: DataFrame, reports: DataFrame, slug: str | None = None) -> DataFrame:
+    """(n, h): reports that a commit's message, or the text of its pull request, closes by keyword.
+
+    With a ``slug`` (owner/name) the repository's own long forms and addresses count too.
+    """
     message = F.coalesce("msg", F.lit(""))
-    own = units.select("h", F.explode(closed_reports(message)).alias("n"))
+    own = units.select("h", F.explode(closed_reports(message, slug)).alias("n"))
     requests = reports.where("pr").select(F.col("n").alias("request"), F.coalesce("body", F.lit("")).alias("body"))
-    through = units.select("h", pr_of(message).alias("request")).join(requests, "request").select("h", F.explode(closed_reports(F.col("body"))).alias("n"))
+    through = units.select("h", pr_of(message).alias("request")).join(requests, "request").select("h", F.explode(closed_reports(F.col("body"), slug)).alias("n"))
     return own.unionByName(through).select("n", "h").distinct()
 
 
@@ -34,16 +37,23 @@ def fixed_elements(links: DataFrame, units: DataFrame) -> DataFrame:
     return links.where("type = 'fixed'").select("n", "u").distinct().join(touched, "u").select("n", "key").distinct()
 
 
-def similar_reports(queries: DataFrame, reports: DataFrame, query_key: str) -> DataFrame:
+def similar_reports(queries: DataFrame, reports: DataFrame, query_key: str, terms=index.tokenize_code) -> DataFrame:
     """(query, doc, sim): cosine under smoothed tf-idf between a query and every report with a common term, itself left out."""
     docs = reports.select(F.col("n").alias("doc"), "text")
-    post = durable(index.postings(docs, ["doc"], F.col("text")))
+    post = durable(index.postings(docs, ["doc"], F.col("text"), terms))
     df, count = index.frequencies(post), docs.count()
-    asked = index.tfidf(index.postings(queries, [query_key], F.col("text")), df, [query_key], count, smooth=True)
-    found = index.dot(asked, index.tfidf(post, df, ["doc"], count, smooth=True), [query_key, "doc"])
+    asked = index.tfidf(index.postings(queries, [query_key], F.col("text"), terms), df, [query_key], count, smooth=True)
+    found = blocks.products(asked, index.tfidf(post, df, ["doc"], count, smooth=True), query_key, "doc", count=post.count())
     return found.where(F.col(query_key) != F.col("doc")).select(query_key, "doc", F.round("score", 9).alias("sim"))
 
 
+def known_before(similar: DataFrame, queries: DataFrame, reports: DataFrame, query_key: str, doc_key: str = "doc", margin: int = 86400) -> DataFrame:
+    """Pairs (query, doc) of which the report had been written ``margin`` seconds before the query; neither time may be null."""
+    asked = queries.select(query_key, F.col("created").alias("asked__"))
+    told = reports.select(F.col("n").alias(doc_key), F.col("created").alias("told__"))
+    return similar.join(asked, query_key).join(told, doc_key).where(F.col("told__") <= F.col("asked__") - margin).drop("asked__", "told__")
+
+
 def simi_score(similar: DataFrame, fixed: DataFrame, elements: DataFrame, query_key: str, doc_key: str, depth: int = DEPTH) -> DataFrame:
     """(query, key, score, rank): sum over similar reports of similarity divided by the number of elements they fixed."""
     fix = fixed.select(F.col("n").alias(doc_key), "key")

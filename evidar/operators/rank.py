@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from evidar.tables import durable
 
-from . import index
+from . import blocks, index
 
 #: constant of reciprocal rank fusion, depth of lists
 RRF_K, DEPTH = 60, 500
@@ -39,8 +39,7 @@ def bm25(queries: DataFrame, docs: DataFrame, query_key: str, doc_key: str, dept
     norm = index.K1 * (1 - index.B + index.B * F.col("dl") / F.lit(float(average or 1)))
     weights = post.join(length, doc_key).join(idf, "term").select(doc_key, "term", (F.col("idf") * F.col("tf") * (index.K1 + 1) / (F.col("tf") + norm)).alias("w"))
     wanted = index.postings(queries, [query_key], F.col("text")).select(query_key, "term", F.col("tf").cast("double").alias("w"))
-    hit = block_products(wanted, weights, query_key, doc_key, depth)
-    top = durable(ranked(hit, query_key, [F.desc("score"), F.asc(doc_key)], depth, out="place").select(query_key, doc_key, "score"))
+    top = durable(blocks.products(wanted, weights, query_key, doc_key, depth, post.count()))
     # a list of fewer than depth hits has all positive scores, and none is negative; the first
     # 2 * depth documents hold enough that it doesn't have
     short = durable(queries.select(query_key).distinct().join(top.groupBy(query_key).agg(F.count("*").alias("hits")), query_key, "left").where(F.coalesce("hits", F.lit(0)) < depth))
@@ -53,52 +52,7 @@ def bm25(queries: DataFrame, docs: DataFrame, query_key: str, doc_key: str, dept
     return ranked(both, query_key, [F.desc("score"), F.asc(doc_key)], depth)
 
 
-def block_products(asked: DataFrame, rows: DataFrame, query_key: str, row_key: str, depth: int, block: int = 2048) -> DataFrame:
-    """(query, row, score): of every block of rows the best ``depth`` per query by the product of their weights, if positive.
-
-    Both sides are (key, term, w).  Queries and rows are packed into blocks, every
-    block of queries meets every block of rows once, and a row is multiplied with
-    all queries of a block at once; so a term that most texts have costs no more
-    rows in the plan than a rare one.
-    """
-    packed = lambda df, key: df.groupBy(F.col(key).alias("key")).agg(F.collect_list("term").alias("terms"), F.collect_list("w").alias("w"))
-    docs = durable(packed(rows, row_key))
-    parts = max(1, -(-docs.count() // block))
-    cell = F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int")
-    right = docs.groupBy(cell.alias("cell")).agg(F.collect_list(F.struct("key", "terms", "w")).alias("rows"))
-    wanted = durable(packed(asked, query_key))
-    groups = max(1, -(-wanted.count() // 256))
-    left = wanted.groupBy(F.pmod(F.xxhash64("key"), F.lit(groups)).alias("g")).agg(F.collect_list(F.struct("key", "terms", "w")).alias("asked"))
-    left = left.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-
-    def best(batches):
-        for batch in batches:
-            query_type, row_type = (batch.schema.field(i).type.value_type.field("key").type for i in (0, 1))
-            for queries, texts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                place = {t: i for i, t in enumerate({t for q in queries for t in q["terms"]})}
-                table = np.zeros((len(place) + 1, len(queries)))
-                for j, q in enumerate(queries):
-                    table[[place[t] for t in q["terms"]], j] = q["w"]
-                score = np.zeros((len(texts), len(queries)))
-                for i, x in enumerate(texts):
-                    hit = [(place[t], w) for t, w in zip(x["terms"], x["w"]) if t in place]
-                    if hit:
-                        at, w = zip(*hit)
-                        score[i] = np.array(w) @ table[list(at)]
-                score = np.round(score, 9)
-                keys = np.array([x["key"] for x in texts])
-                order = np.argsort(keys, kind="stable")
-                for j, q in enumerate(queries):
-                    column = score[order, j]
-                    top = order[np.argsort(-column, kind="stable")[:depth]]
-                    top = top[score[top, j] > 0]
-                    yield pa.RecordBatch.from_arrays([pa.array([q["key"]] * len(top), query_type), pa.array(keys[top].tolist(), row_type), pa.array(score[top, j])], [query_key, row_key, "score"])
-
-    kinds = [wanted.schema["key"].dataType.simpleString(), docs.schema["key"].dataType.simpleString()]
-    return left.join(right, "cell").select("asked", "rows").mapInArrow(best, f"{query_key} {kinds[0]}, {row_key} {kinds[1]}, score double")
-
-
-def cosine(vectors: DataFrame, key: str, vector: str, is_query: Column, depth: int = DEPTH, block: int = 2048) -> DataFrame:
+def cosine(vectors: DataFrame, key: str, vector: str, is_query: Column, depth: int = DEPTH, block: int = 16_384) -> DataFrame:
     """(query, id, score, rank): for each query row the rows most like it, itself left out.
 
     Rows and queries are packed into blocks; every block of queries meets every

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from evidar.functions.text import key_of
 from evidar.operators.graph import last_version
-from evidar.tables import read
+from evidar.tables import read, spread
 
 CODE = ("Module", "Class", "Function")
 
@@ -22,6 +22,8 @@ def nodes(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     names = [c for c in (columns or rows.columns) if c not in ("id", "indexed_at")]
     file = F.coalesce("file", F.when(F.col("label") == "Module", F.col("name"))).alias("file")
     rows = rows.select("id", *[file if c == "file" else c for c in names], "indexed_at")
+    if "source" in names:
+        rows = spread(rows)
     return last_version(rows, ["id"], F.col("indexed_at")).select("id", *names, *[] if columns else ["indexed_at"])
 
 
@@ -53,7 +55,7 @@ def documents_edges(spark: SparkSession, d: str) -> DataFrame:
 
 def reports(spark: SparkSession, d: str) -> DataFrame:
     """Reports, the version fetched last, with ``text`` = title, line end, body."""
-    rows = last_version(read(spark, d, "report"), ["n"], F.col("fetched_at"))
+    rows = last_version(spread(read(spark, d, "report")), ["n"], F.col("fetched_at"))
     return rows.withColumn("text", F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("body", F.lit(""))))
 
 

@@ -24,7 +24,8 @@ def fix_recency(spark, d):
 
 
 def message_cosine(spark, d):
-    return history.message_scores(domain.prompts(spark, d), domain.units(spark, d), "n").select(F.col("n").cast("bigint").alias("n"), "h", six("cos").alias("cos"))
+    """The 500 commits whose messages are most like a report."""
+    return history.message_scores(domain.prompts(spark, d), domain.units(spark, d), "n", 500).select(F.col("n").cast("bigint").alias("n"), "h", six("cos").alias("cos"))
 
 
 def msg_rank(spark, d):
@@ -112,7 +113,7 @@ SQL = {
     "eligible_commits": f"{sql('units', 'keys', 'touched')}, {_FIT} SELECT h, t, len(touch) AS n_touch FROM fit",
     "touch_sets": f"{sql('units', 'touched')} SELECT h, key FROM touched",
     "fix_recency": f"{sql('units', 'touched')}, {_FIX} SELECT key, round(fix, 6) AS fix FROM fix",
-    "message_cosine": f"{sql('reports', 'prompts', 'units')}, docs AS (SELECT h, coalesce(msg, '') AS msg FROM units), {_cosine('docs', 'h', 'msg')} SELECT CAST(n AS BIGINT) AS n, h, round(round(cos, 9) + 1e-10, 6) AS cos FROM cos WHERE round(cos, 9) > 0",
+    "message_cosine": f"{sql('reports', 'prompts', 'units')}, docs AS (SELECT h, coalesce(msg, '') AS msg FROM units), {_cosine('docs', 'h', 'msg')}, k AS (SELECT n, h, round(cos, 9) AS cos, row_number() OVER (PARTITION BY n ORDER BY round(cos, 9) DESC, h) AS place FROM cos WHERE round(cos, 9) > 0) SELECT CAST(n AS BIGINT) AS n, h, round(cos + 1e-10, 6) AS cos FROM k WHERE place <= 500",
     "msg_rank": f"""{sql('reports', 'listed', 'units', 'keys', 'touched', 'elements', 'code', 'hybrid')}, {_FIT}, docs AS (SELECT h, coalesce(msg, '') AS msg FROM fit), {_cosine('docs', 'h', 'msg')},
         text_list AS (SELECT n, h, row_number() OVER (PARTITION BY n ORDER BY round(cos, 9) DESC, t DESC, h) AS rank FROM cos JOIN fit USING (h) WHERE round(cos, 9) > 0),
         listed AS (SELECT n, regexp_replace(id, '^[^:]*:', '') AS key, rank FROM hybrid),

@@ -14,6 +14,16 @@ def read(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, a table as it is read, in at least as many partitions as there are cores.
+
+    A small file of one row group is read by one task, whatever is then done to its
+    rows.  A table that comes in enough partitions stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def shared_folder(session: SparkSession) -> str:
     """The folder that all executors share, as ``spark.checkpoint.dir`` of the session names it.
 

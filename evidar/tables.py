@@ -20,8 +20,10 @@ def spread(df: DataFrame) -> DataFrame:
     A small file of one row group is read by one task, whatever is then done to its
     rows.  A table that comes in enough partitions stays as it is.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    cores, plan = df.sparkSession.sparkContext.defaultParallelism, df._jdf.queryExecution().executedPlan()
+    if plan.nodeName().startswith("AdaptiveSparkPlan"):  # not just read: it is shuffled already
+        return df
+    return df.repartition(cores) if plan.execute().getNumPartitions() < cores else df
 
 
 def shared_folder(session: SparkSession) -> str:

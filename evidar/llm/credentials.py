@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evidar.tables import spread
+
 #: about so many files the models are trained on, however large the table
 SAMPLE = 3_000
 #: calibrated score from which a value is a credential
@@ -391,7 +393,7 @@ def scan(nodes: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD, s
     """
     model = nodes.sparkSession.sparkContext.broadcast(train(nodes, sample))
     path = F.coalesce("file", F.get(F.split("id", ":"), 1), "name", F.lit(""))
-    rows = nodes.where(F.col("source").isNotNull()).select("id", path.alias("path"), "source")
+    rows = spread(nodes.where(F.col("source").isNotNull()).select("id", path.alias("path"), "source"))
 
     def run(batches):
         judge = model.value

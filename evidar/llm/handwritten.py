@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidar.tables import durable
+from evidar.tables import durable, spread
 
 from .forest import Forest
 
@@ -255,7 +255,7 @@ def judged(nodes: DataFrame, upstream: DataFrame, suffixes: tuple[str, ...] = ("
     """
     path = F.coalesce("file", "name")
     files = nodes.where((F.col("label") == "Module") & F.col("id").isNotNull() & F.col("source").isNotNull() & path.rlike("(?:" + "|".join(re.escape(s) for s in suffixes) + ")$"))
-    files = files.select("id", path.alias("path"), "source")
+    files = spread(files.select("id", path.alias("path"), "source"))
     table = durable(described(files, upstream, sample / max(1, files.count())))
     # in the order of a hash, so that the same table gives the same forest
     chosen = table.where("label is not null").select("features", "label", F.xxhash64("id", "features").alias("h")).orderBy("h").limit(4 * sample).collect()

@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidar.tables import durable, stored
+from evidar.tables import durable, spread, stored
 
 from .grammars import SUFFIX, parses
 from .syntax import claimed, valid
@@ -183,6 +183,7 @@ def own_descriptions(nodes: DataFrame, code: bool = False) -> DataFrame:
     # a Function's file may be null; its path then is the second part of its id
     path = F.coalesce("file", F.get(F.split("id", ":"), 1))
     rows = nodes.where((F.col("label") == "Function") & F.col("id").isNotNull() & F.col("source").isNotNull() & path.rlike(ending)).select("id", "name", path.alias("path"), "source")
+    rows = spread(rows)
 
     def run(batches):
         import warnings
@@ -208,6 +209,7 @@ def own_descriptions(nodes: DataFrame, code: bool = False) -> DataFrame:
 def chunk_descriptions(chunks: DataFrame) -> DataFrame:
     """(dotted, chunk, description): entries of documentation chunks that describe what they name."""
     rows = chunks.where(F.col("text").isNotNull() & F.col("id").isNotNull()).select("id", "heading", "text")
+    rows = spread(rows)
 
     def run(batches):
         for batch in batches:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidar.operators.skew import lookup
-from evidar.tables import durable
+from evidar.tables import durable, spread
 
 #: bytes of text in a block
 BLOCK_BYTES = 8 << 20
@@ -271,7 +271,7 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", block_bytes
     a repeated key is reported if any of its texts is.
     """
     session = docs.sparkSession
-    rows = docs.where(docs[text].isNotNull()).select(docs[key].alias("key"), docs[text].alias("text"))
+    rows = spread(docs.where(docs[text].isNotNull()).select(docs[key].alias("key"), docs[text].alias("text")))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
 

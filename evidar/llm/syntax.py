@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evidar.tables import spread
+
 from .grammars import LANGUAGES, SUFFIX, parses
 
 _TOKEN = re.compile(r"[A-Za-z_]\w*|=>|===|->|:=|\{|;|:\n|#|//|/\*|\$\{|`|\"\"\"|'")
@@ -75,6 +77,7 @@ def checked(nodes: DataFrame, all_rows: bool = True) -> DataFrame:
     """
     ending = "(?:" + "|".join(re.escape(s) for s in SUFFIX) + ")$"
     rows = nodes.where(F.col("label").isin("Module", "Function") & F.col("source").isNotNull() & _path().rlike(ending)).select("id", "label", "repo", _path().alias("path"), "source")
+    rows = spread(rows)
 
     def run(batches):
         import warnings

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from evidar.tables import spread
+
 #: fixed value: the folder of the public tokenizers; a parameter of every function here
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -176,7 +178,7 @@ def encode_table(df: DataFrame, keep: list[str], text: str, out: str = "ids", fo
 
     Null and empty texts give an empty list, null keys stay null, repeated rows
     stay repeated, other columns are not read, an empty table gives an empty one.
-    No shuffle.
+    No shuffle, unless the table comes in fewer partitions than there are cores.
     """
     return _apply(df, keep, text, out, folder, vocabulary, False)
 
@@ -194,4 +196,4 @@ def _apply(df: DataFrame, keep: list[str], text: str, out: str, folder: str, voc
     def run(batches):
         return _batches(batches, folder, vocabulary, counts)
 
-    return source.mapInArrow(run, schema).toDF(*keep, out)
+    return spread(source).mapInArrow(run, schema).toDF(*keep, out)

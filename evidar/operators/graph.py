@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidar.tables import durable
+from evidar.tables import durable, release
 
 
 def last_version(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
@@ -108,6 +108,30 @@ def shortest(seeds: DataFrame, steps: DataFrame, group: str, budget: float) -> D
     return best
 
 
+def shortest_near(seeds: DataFrame, edges: DataFrame, listed: DataFrame, group: str, budget: float = 4.0, inner: float = 0.25, other: float = 1.0) -> DataFrame:
+    """(group, id, dist): least weight of a path from the seeds within ``budget``, over what a group's list leads to.
+
+    ``edges`` has (type, source, target), walked both ways; containment (Defines)
+    weighs ``inner`` and is open to all, other edges weigh ``other`` and are open to a
+    group only if their target is in its list (group, id).  So a group sees its own
+    part of the graph, and a hub costs only the groups that list it.
+    """
+    contained = edges.where("type = 'Defines'").select("source", "target").distinct()
+    open_ = durable(edges.where("type <> 'Defines'").select("source", "target").distinct().join(listed.select(group, F.col("id").alias("target")).distinct(), "target").select(group, "source", "target"))
+    both = contained.select(F.col("source").alias("a"), F.col("target").alias("b")).unionByName(contained.select(F.col("target").alias("a"), F.col("source").alias("b")))
+    steps = durable(both.distinct().withColumn("w", F.lit(inner)))
+    own = durable(open_.select(group, F.col("source").alias("a"), F.col("target").alias("b")).unionByName(open_.select(group, F.col("target").alias("a"), F.col("source").alias("b"))).distinct().withColumn("w", F.lit(other)))
+    best = changed = durable(seeds.select(group, "id").distinct().withColumn("dist", F.lit(0.0)))
+    while not changed.isEmpty():
+        at = changed.withColumnRenamed("id", "a")
+        offer = at.join(steps, "a").select(group, F.col("b").alias("id"), (F.col("dist") + F.col("w")).alias("dist")).unionByName(at.join(own, [group, "a"]).select(group, F.col("b").alias("id"), (F.col("dist") + F.col("w")).alias("dist")))
+        offer = offer.where(F.col("dist") <= budget).groupBy(group, "id").agg(F.round(F.min("dist"), 9).alias("dist"))
+        changed = durable(offer.join(best.withColumnRenamed("dist", "known"), [group, "id"], "left").where("known is null or dist < known").select(group, "id", "dist"))
+        older, best = best, durable(best.unionByName(changed).groupBy(group, "id").agg(F.min("dist").alias("dist")))
+        release(older)
+    return best
+
+
 def votes(scored: DataFrame, described: DataFrame, calls: DataFrame, group: str, weight: float = 0.8, spill: float = 0.5, fan: int = 20) -> DataFrame:
     """(group, id, vote): what documentation says of code.
 

@@ -64,14 +64,14 @@ def neighbors(spark, d):
 
 
 def bfs_ball(spark, d):
-    found = graph.ball(_seeds(spark, d), graph.both_ways(_real(spark, d)), "n", 2)
+    found = graph.ball(_seeds(spark, d), graph.both_ways(_real(spark, d)), "n", 3)
     return found.select("n", "id", F.col("hop").cast("bigint").alias("hop"))
 
 
 def callers_callees(spark, d):
-    """Elements that call, directly or through one other, what a report's list begins with."""
+    """Elements that call, directly or through up to two others, what a report's list begins with."""
     steps = _real(spark, d).where("type = 'Calls'").select(F.col("target").alias("a"), F.col("source").alias("b"))
-    return graph.ball(_seeds(spark, d), steps, "n", 2).select("n", "id", F.col("hop").cast("bigint").alias("hop"))
+    return graph.ball(_seeds(spark, d), steps, "n", 3).select("n", "id", F.col("hop").cast("bigint").alias("hop"))
 
 
 def induced_edges(spark, d):
@@ -80,28 +80,28 @@ def induced_edges(spark, d):
 
 def hop_coverage(spark, d):
     """Of the elements a report's fixes touched, how many are within each number of steps of its list."""
-    reached = graph.ball(_seeds(spark, d), graph.both_ways(_real(spark, d)), "n", 2).select("n", F.regexp_replace("id", "^[^:]*:", "").alias("key"), "hop")
+    reached = graph.ball(_seeds(spark, d), graph.both_ways(_real(spark, d)), "n", 3).select("n", F.regexp_replace("id", "^[^:]*:", "").alias("key"), "hop")
     return domain.gold(spark, d).join(reached.groupBy("n", "key").agg(F.min("hop").alias("hop")), ["n", "key"]).groupBy("n", F.col("hop").cast("bigint").alias("hop")).agg(F.count("*").alias("reached"))
 
 
-def _weighted(spark, d):
-    weight = F.when(F.col("type") == "Defines", 0.25).otherwise(1.0)
-    real = _real(spark, d)
-    return real.select(F.col("source").alias("a"), F.col("target").alias("b"), weight.alias("w")).unionByName(real.select(F.col("target").alias("a"), F.col("source").alias("b"), weight.alias("w")))
+def _near(spark, d):
+    return graph.shortest_near(_seeds(spark, d), _real(spark, d), search.hybrid(spark, d).select("n", "id"), "n", 4.0)
 
 
 def bounded_sssp(spark, d):
-    return graph.shortest(_seeds(spark, d), _weighted(spark, d), "n", 1.5).select("n", "id", six("dist").alias("dist"))
+    """Elements within a weight of 4 of a report's list, over containment and over edges to what the list has."""
+    return _near(spark, d).select("n", "id", six("dist").alias("dist"))
 
 
 def kg_rank(spark, d):
-    """Elements near a report's list, by closeness and by edit distance of their names to the name at the head of the list."""
-    near = graph.shortest(_seeds(spark, d), _weighted(spark, d), "n", 1.25)
+    """Elements near a report's list, by closeness, by the vector side of the list and by edit distance of their names to the name at its head."""
+    near = _near(spark, d)
     names = domain.nodes(spark, d, "label", "name").where("label <> 'Module'").select("id", "name")
     head = search.hybrid(spark, d).where("rank = 1").select("n", "id").join(names.withColumnRenamed("name", "head"), "id").select("n", "head")
-    rows = near.join(names, "id").join(head, "n")
+    vector = domain.cand(spark, d, "code").select("n", "id", "cos")
+    rows = near.join(names, "id").join(head, "n").join(vector, ["n", "id"], "left").withColumn("cos", F.coalesce("cos", F.lit(0.0)))
     alike = 1 - F.levenshtein("name", "head") / F.greatest(F.length("name"), F.length("head"))
-    scored = rows.select("n", "id", "dist", F.round(F.pow(F.lit(0.6), F.col("dist")) * (0.3 + 0.7 * alike), 9).alias("score"))
+    scored = rows.select("n", "id", "dist", F.round(F.pow(F.lit(0.6), F.col("dist")) * (0.3 * (F.col("cos") + 1) / 2 + 0.7 * alike), 9).alias("score"))
     from evidar.operators.rank import ranked
 
     return ranked(scored, "n", [F.desc("score"), F.asc("dist"), F.asc("id")], 500).select("n", "id", six("score").alias("score"), F.col("rank").cast("bigint").alias("rank"))
@@ -169,10 +169,15 @@ def _ball(depth: int, steps: str = "steps") -> str:
     return ",\n".join(parts) + f", ball AS (SELECT * FROM b{depth})"
 
 
-def _near(budget: float, rounds: int) -> str:
-    parts = [_SEEDS, "wsteps AS (SELECT a, b, min(w) AS w FROM (SELECT source AS a, target AS b, CASE WHEN type = 'Defines' THEN 0.25 ELSE 1.0 END AS w FROM real UNION ALL SELECT target, source, CASE WHEN type = 'Defines' THEN 0.25 ELSE 1.0 END FROM real) GROUP BY a, b)", "d0 AS (SELECT DISTINCT n, id, 0.0::DOUBLE AS dist FROM seeds)"]
+def _near_sql(budget: float, rounds: int) -> str:
+    parts = [
+        _SEEDS, "defs AS (SELECT DISTINCT source AS a, target AS b FROM real WHERE type = 'Defines' UNION SELECT target, source FROM real WHERE type = 'Defines')",
+        "open_ AS (SELECT DISTINCT h.n, r.source, r.target FROM real r JOIN hybrid h ON h.id = r.target WHERE r.type <> 'Defines')", "own AS (SELECT n, source AS a, target AS b FROM open_ UNION SELECT n, target, source FROM open_)",
+        "d0 AS (SELECT DISTINCT n, id, 0.0::DOUBLE AS dist FROM seeds)",
+    ]
     for i in range(1, rounds + 1):
-        parts.append(f"d{i} AS (SELECT n, id, min(dist) AS dist FROM (SELECT * FROM d{i - 1} UNION ALL SELECT x.n, s.b, x.dist + s.w FROM d{i - 1} x JOIN wsteps s ON s.a = x.id WHERE x.dist + s.w <= {budget}) GROUP BY n, id)")
+        parts.append(f"""d{i} AS MATERIALIZED (SELECT n, id, min(dist) AS dist FROM (SELECT * FROM d{i - 1} UNION ALL SELECT x.n, s.b, x.dist + 0.25 FROM d{i - 1} x JOIN defs s ON s.a = x.id WHERE x.dist + 0.25 <= {budget}
+            UNION ALL SELECT x.n, s.b, x.dist + 1.0 FROM d{i - 1} x JOIN own s ON s.a = x.id AND s.n = x.n WHERE x.dist + 1.0 <= {budget}) GROUP BY n, id)""")
     return ",\n".join(parts) + f", near AS (SELECT * FROM d{rounds})"
 
 
@@ -189,13 +194,13 @@ SQL = {
     "described_chunks": f"{sql('ids')} SELECT chunk, string_agg(target, ',' ORDER BY target) AS targets FROM (SELECT DISTINCT chunk, target FROM doc_edge WHERE target IN (SELECT id FROM ids) AND chunk IN (SELECT id FROM chunk)) GROUP BY chunk",
     "neighbors": f"""{sql('ids')}, e AS (SELECT DISTINCT caller AS s, callee AS t FROM call_edge WHERE caller IN (SELECT id FROM ids) AND callee IN (SELECT id FROM ids)),
         b AS (SELECT s AS id, 'out' AS direction, t AS other FROM e UNION ALL SELECT t, 'in', s FROM e), k AS (SELECT *, row_number() OVER (PARTITION BY id, direction ORDER BY other) AS place FROM b) SELECT * FROM k WHERE place <= 10""",
-    "bfs_ball": f"{sql(*_HYBRID)}, {_ball(2)} SELECT n, id, CAST(hop AS BIGINT) AS hop FROM ball",
-    "callers_callees": f"{sql(*_HYBRID)}, up AS (SELECT target AS a, source AS b FROM real WHERE type = 'Calls'), {_ball(2, 'up')} SELECT n, id, CAST(hop AS BIGINT) AS hop FROM ball",
+    "bfs_ball": f"{sql(*_HYBRID)}, {_ball(3)} SELECT n, id, CAST(hop AS BIGINT) AS hop FROM ball",
+    "callers_callees": f"{sql(*_HYBRID)}, up AS (SELECT target AS a, source AS b FROM real WHERE type = 'Calls'), {_ball(3, 'up')} SELECT n, id, CAST(hop AS BIGINT) AS hop FROM ball",
     "induced_edges": f"{sql(*_HYBRID)}, {_ball(1)} SELECT x.n, r.type, r.source, r.target FROM real r JOIN ball x ON x.id = r.source JOIN ball y ON y.id = r.target AND y.n = x.n",
-    "hop_coverage": f"{sql(*_HYBRID, 'gold')}, {_ball(2)} SELECT n, CAST(hop AS BIGINT) AS hop, count(*) AS reached FROM (SELECT n, regexp_replace(id, '^[^:]*:', '') AS key, min(hop) AS hop FROM ball GROUP BY ALL) JOIN gold USING (n, key) GROUP BY n, hop",
-    "bounded_sssp": f"{sql(*_HYBRID)}, {_near(1.5, 6)} SELECT n, id, round(dist + 1e-10, 6) AS dist FROM near",
-    "kg_rank": f"""{sql('nodes', *_HYBRID)}, {_near(1.25, 5)}, head AS (SELECT h.n, name AS head FROM hybrid h JOIN nodes USING (id) WHERE rank = 1),
-        s AS (SELECT n, id, dist, round(pow(0.6, dist) * (0.3 + 0.7 * (1 - levenshtein(name, head) / greatest(length(name), length(head)))), 9) AS score FROM near JOIN nodes USING (id) JOIN head USING (n) WHERE label <> 'Module'),
+    "hop_coverage": f"{sql(*_HYBRID, 'gold')}, {_ball(3)} SELECT n, CAST(hop AS BIGINT) AS hop, count(*) AS reached FROM (SELECT n, regexp_replace(id, '^[^:]*:', '') AS key, min(hop) AS hop FROM ball GROUP BY ALL) JOIN gold USING (n, key) GROUP BY n, hop",
+    "bounded_sssp": f"{sql(*_HYBRID)}, {_near_sql(4.0, 16)} SELECT n, id, round(dist + 1e-10, 6) AS dist FROM near",
+    "kg_rank": f"""{sql('nodes', *_HYBRID)}, {_near_sql(4.0, 16)}, head AS (SELECT h.n, name AS head FROM hybrid h JOIN nodes USING (id) WHERE rank = 1),
+        s AS (SELECT n, id, dist, round(pow(0.6, dist) * (0.3 * (coalesce(cos, 0) + 1) / 2 + 0.7 * (1 - levenshtein(name, head) / greatest(length(name), length(head)))), 9) AS score FROM near JOIN nodes USING (id) JOIN head USING (n) LEFT JOIN code USING (n, id) WHERE label <> 'Module'),
         k AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY score DESC, dist, id) AS rank FROM s) SELECT n, id, round(score + 1e-10, 6) AS score, rank FROM k WHERE rank <= 500""",
     "doc_votes": f"""{sql('ids', 'doc')}, {search._POOL}, e AS (SELECT DISTINCT caller AS s, callee AS t FROM call_edge WHERE caller IN (SELECT id FROM ids) AND callee IN (SELECT id FROM ids)),
         direct AS (SELECT n, target AS id, max(round(score + 1e-10, 6) * 0.8) AS vote FROM pool JOIN (SELECT DISTINCT chunk, target FROM doc_edge) x ON x.chunk = pool.id GROUP BY n, target),

@@ -94,6 +94,23 @@ def neighbours(edges: DataFrame, limit: int = 10) -> DataFrame:
     return out.unionByName(into).distinct().withColumn("place", F.row_number().over(window)).where(F.col("place") <= limit)
 
 
+def ranked_neighbours(wanted: DataFrame, edges: DataFrame, listed: DataFrame, group: str, limit: int = 10) -> DataFrame:
+    """(group, id, direction, other, place, total): callers and callees of a group's elements (group, id).
+
+    Those in the group's list (group, id, rank) come first, by their rank, the rest by
+    id; ``total`` says how many there are.
+    """
+    pairs = edges.select("source", "target").distinct()
+    out = wanted.join(pairs.select(F.col("source").alias("id"), F.col("target").alias("other")), "id").withColumn("direction", F.lit("out"))
+    into = wanted.join(pairs.select(F.col("target").alias("id"), F.col("source").alias("other")), "id").withColumn("direction", F.lit("in"))
+    rows = out.unionByName(into).join(listed.select(group, F.col("id").alias("other"), F.col("rank").alias("at")), [group, "other"], "left")
+    by = Window.partitionBy(group, "id", "direction")
+    placed = rows.withColumn("place", F.row_number().over(by.orderBy(F.asc_nulls_last("at"), "other")))
+    # the first ``limit`` are picked before anything is said of how many there are
+    total = rows.groupBy(group, "id", "direction").agg(F.count("*").alias("total"))
+    return placed.where(F.col("place") <= limit).join(total, [group, "id", "direction"]).select(group, "id", "direction", "other", "place", "total")
+
+
 def shortest(seeds: DataFrame, steps: DataFrame, group: str, budget: float) -> DataFrame:
     """(group, id, dist): least weight of a path over ``steps`` (a, b, w) within ``budget``, by relaxation in rounds."""
     steps = durable(steps.groupBy("a", "b").agg(F.min("w").alias("w")))

@@ -46,16 +46,15 @@ def passages(queries: DataFrame, code: DataFrame, chunks: DataFrame, described:
 
     Candidates are the passages that describe something (``described`` has chunk),
     or all if none does.  Words weigh as in the elements and passages together
-    (``code``, ``chunks``: id, text).  ``vectors`` has (group, id, cos); a passage
-    without counts 0.  Every query has all candidates; ties go by id.
+    (``code``, ``chunks``: id, text).  The list by words holds the 500 best candidates;
+    by vector they are ranked among themselves, ``vectors`` (group, id, cos), a passage
+    without counting 0.  Ties go by id.
     """
     both = code.select("id", "text").unionByName(chunks.select("id", "text"))
     own = chunks.select("id").distinct()
     told = own.join(described.select(F.col("chunk").alias("id")).distinct(), "id", "left_semi")
     candidates = own if told.isEmpty() else told
-    # a list that holds every passage: its depth is the number of texts, since passages stand among the elements
-    listed = rank.bm25(queries, both, group, "id", both.count()).select(group, "id", F.col("score").alias("bm25"))
-    rows = listed.join(candidates, "id")
+    rows = rank.bm25(queries, both, group, "id", only=candidates).select(group, "id", F.col("score").alias("bm25"))
     rows = rows.withColumn("cos", F.lit(0.0)) if vectors is None else rows.join(vectors.select(group, "id", "cos"), [group, "id"], "left").withColumn("cos", F.coalesce("cos", F.lit(0.0)))
     placed = ranked(ranked(rows, group, [F.desc("bm25"), F.asc("id")], base=0, out="a"), group, [F.desc("cos"), F.asc("id")], base=0, out="b")
     score = F.round(1.0 / (rank.RRF_K + F.col("a")) + 1.0 / (rank.RRF_K + F.col("b")), 9)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import evaluation, extraction, graph, history, search, text
+from . import evaluation, evidence, extraction, graph, history, search, text
 
-QUERIES = {**text.QUERIES, **search.QUERIES, **history.QUERIES, **graph.QUERIES, **evaluation.QUERIES, **extraction.QUERIES}
-SQL = {**text.SQL, **search.SQL, **history.SQL, **graph.SQL, **evaluation.SQL, **extraction.SQL}
+QUERIES = {**text.QUERIES, **search.QUERIES, **history.QUERIES, **graph.QUERIES, **evaluation.QUERIES, **extraction.QUERIES, **evidence.QUERIES}
+SQL = {**text.SQL, **search.SQL, **history.SQL, **graph.SQL, **evaluation.SQL, **extraction.SQL, **evidence.SQL}

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evidar.functions.porter import stem
-from evidar.functions.text import tokenize_code
-from evidar.operators import code, docs, evaluate
+from evidar.functions import terms
+from evidar.operators import code, docs, evaluate, index
 from evidar.streaming.incremental import windowed_counts
 from evidar.tables import read
 
@@ -42,15 +41,20 @@ def doc_passages(spark, d):
 
 
 def nl_terms(spark, d):
-    """Stems of the words of reports: every distinct word is stemmed once."""
-    words = domain.reports(spark, d).select("n", F.explode(tokenize_code(F.col("text"))).alias("word")).groupBy("n", "word").agg(F.count("*").alias("tf"))
+    """Stems of the words of reports that are no stop words and no keywords."""
+    stop = terms.stop_words(spark)
+    return index.postings(domain.reports(spark, d), ["n"], F.col("text"), lambda t: terms.nl_terms(t, stop))
 
-    @F.pandas_udf("string")
-    def stems(word):
-        return word.map(stem)
 
-    table = words.select("word").distinct().withColumn("stem", stems("word"))
-    return words.join(table, "word").groupBy("n", "stem").agg(F.sum("tf").alias("tf"))
+def issue_terms(spark, d):
+    """Stems of the words of reports that are no stop words."""
+    stop = terms.stop_words(spark)
+    return index.postings(domain.reports(spark, d), ["n"], F.col("text"), lambda t: terms.issue_terms(t, stop))
+
+
+def code_terms(spark, d):
+    """Words of reports that look like code, whole and in parts."""
+    return index.postings(domain.reports(spark, d), ["n"], F.col("text"), terms.code_terms).select(F.col("n").cast("bigint").alias("n"), "term", "tf")
 
 
 def event_windows(spark, d):
@@ -62,8 +66,12 @@ def report_samples(spark, d):
     return evaluate.sample(domain.units(spark, d), "repo", "h", 3).select("repo", "h", F.col("place").cast("bigint").alias("place"))
 
 
-QUERIES = {f.__name__: f for f in (python_elements, python_edges, doc_links, doc_passages, nl_terms, event_windows, report_samples)}
+QUERIES = {f.__name__: f for f in (python_elements, python_edges, doc_links, doc_passages, nl_terms, issue_terms, code_terms, event_windows, report_samples)}
+_NAME = r"[A-Za-z_][\p{L}\p{N}_]*(?:\.[A-Za-z_][\p{L}\p{N}_]*)*"
 SQL = {
+    "code_terms": f"""{domain.sql('reports')}, w AS (SELECT n, unnest(regexp_extract_all(text, '`[^`\\n]+`|{_NAME}\\(?')) AS w FROM reports),
+        t AS (SELECT n, unnest(CASE WHEN starts_with(w, '`') THEN regexp_extract_all(w, '{_NAME}') WHEN ends_with(w, '(') OR contains(w, '_') OR contains(w, '.') OR regexp_matches(substring(w, 2), '\\p{{Lu}}') THEN [regexp_replace(w, '\\($', '')] ELSE [] END) AS t FROM w),
+        p AS (SELECT n, unnest(CASE WHEN contains(t, '.') THEN list_concat([t], string_split(t, '.')) ELSE [t] END) AS term FROM t) SELECT CAST(n AS BIGINT) AS n, term, count(*) AS tf FROM p GROUP BY n, term""",
     "event_windows": "SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS events FROM events GROUP BY ALL",
     "report_samples": f"{domain.sql('units')}, k AS (SELECT repo, h, row_number() OVER (PARTITION BY repo ORDER BY sha1(h), h) AS place FROM units) SELECT repo, h, place FROM k WHERE place <= 3",
 }

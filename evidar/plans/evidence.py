@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evidar.functions import terms
-from evidar.operators import community, context, graph, history, issues, measure, rank, search, vectors
+from evidar.operators import context, graph, history, issues, measure, rank, search, vectors
 from evidar.tables import read
 
 from . import domain
@@ -184,11 +184,6 @@ def linked_share(spark, d):
     return _big(context.linked_ratio(items, context.linked(items, code)), "n")
 
 
-def communities(spark, d):
-    """Communities of the graph of calls and definitions."""
-    return community.communities(graphs._real(spark, d))
-
-
 def cosine_ivf(spark, d):
     """Of every 20th vector the ten nearest by an inverted file."""
     rows = read(spark, d, "embeddings")
@@ -200,7 +195,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         msg_rank_linked, message_pool, earlier_reports, locus_terms, simiscore_terms, passage_pool, list_overlap, evidence_kept, evidence_by_position, request_lengths, score_correlation, element_sizes,
-        documentation_counts, reading_effort, name_seeds, graph_seeds, neighbourhood, voted_files, ranked_neighbours, named_elements, visible_edges, linked_share, communities, cosine_ivf,
+        documentation_counts, reading_effort, name_seeds, graph_seeds, neighbourhood, voted_files, ranked_neighbours, named_elements, visible_edges, linked_share, cosine_ivf,
     )
 }
 

@@ -193,8 +193,13 @@ class Judge:
     def _elsewhere(self, keys: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """How often each key is in its own text, and how often in the rest of the corpus."""
         distinct, back = np.unique(keys, return_inverse=True)
-        _, own, often = np.unique(back.astype(np.int64) * (int(text[-1]) + 1) + text, return_inverse=True, return_counts=True)
-        often = often[own]
+        # texts of a batch are few and their keys numbered, so own occurrences are counted in a table if it isn't large
+        slots, cell = len(distinct) * (int(text[-1]) + 1), back.astype(np.int64) * (int(text[-1]) + 1) + text
+        if slots < 1 << 24:
+            often = np.bincount(cell, minlength=slots)[cell]
+        else:
+            _, own, often = np.unique(cell, return_inverse=True, return_counts=True)
+            often = often[own]
         return often, np.maximum(self._count(distinct)[back] - often, 0)
 
     def _scores(self, texts: list[str]) -> list[tuple[float, float]]:
@@ -203,10 +208,10 @@ class Judge:
             own = segments(t)
             segs += own
             of_text += [i] * len(own)
-        sizes = np.fromiter((len(s.strip()) for s in segs), np.int64, len(segs))
+        sizes = np.array([len(s.strip()) for s in segs], np.int64)
         of_text = np.array(of_text, np.int64)
         whole = np.maximum(np.bincount(of_text, sizes, len(texts)), 1)
-        w, segment = words([_bare(s) for s in segs]) if segs else (np.empty(0, np.uint64), np.empty(0, np.int64))
+        w, segment = words([_URL.sub(" ", s) if "://" in s or "www." in s else s for s in segs]) if segs else (np.empty(0, np.uint64), np.empty(0, np.int64))
         k = len(segs)
         pairs, mean, again, odd, information = np.zeros(k, np.int64), np.zeros(k), np.zeros(k), np.zeros(k), np.zeros(len(texts))
         if len(w) > 1:
@@ -246,11 +251,11 @@ class Judge:
             return len(rest) < 8 or mean < SALAD
         if "#" in s and sum(map(len, _HASHTAG.findall(s))) > 0.6 * len(s.strip()):
             return True
-        if any(c in s for c in "$€£¥₫") and (n := len(_PRICE.findall(s))) and pairs < 8 * n and not _ENDED.search(s):
+        if ("$" in s or "€" in s or "£" in s or "¥" in s or "₫" in s) and (n := len(_PRICE.findall(s))) and pairs < 8 * n and not _ENDED.search(s):
             return True
         if (":" in s or "：" in s) and mean < SALAD + 0.5 and _TAGS.search(s):
             return True
-        if sum(map(s.count, ",|·/;")) > 4:
+        if s.count(",") + s.count("|") + s.count("·") + s.count("/") + s.count(";") > 4:
             items = [x for x in (" ".join(y.lower().split()) for y in _SEPARATOR.split(s)) if x]
             if len(items) > 5 and pairs < 5 * len(items) and not _CODE.search(s):
                 # a list of short items most of which begin like another one

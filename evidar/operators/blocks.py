@@ -43,8 +43,12 @@ class Cell:
         row = place[coded.indices.to_numpy()]
         self.keys = coded.dictionary.take(pa.array(order))
         by = np.lexsort((row, ids))
-        self.row, self.w = row[by], w[here][by]
-        self.start = np.searchsorted(ids[by], np.arange(len(terms) + 1))
+        self.row, self.w, ids = row[by], w[here][by], ids[by]
+        fresh = np.append(True, (ids[1:] != ids[:-1]) | (self.row[1:] != self.row[:-1])) if len(ids) else np.empty(0, bool)
+        if not fresh.all():  # a row that has a term several times has it once, with the sum
+            self.w = np.add.reduceat(self.w, np.flatnonzero(fresh))
+            self.row, ids = self.row[fresh], ids[fresh]
+        self.start = np.searchsorted(ids, np.arange(len(terms) + 1))
         self.plain = not len(self.w) or self.w.min() >= 0
 
     def scores(self, terms: np.ndarray, weights: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray]:

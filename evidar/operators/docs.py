@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: characters a passage has at most, unless one paragraph is longer
@@ -88,20 +88,66 @@ def name_index(nodes: DataFrame) -> DataFrame:
     return rows.select("name", "target").distinct()
 
 
+def carried_modules(chunks: DataFrame) -> DataFrame:
+    """(id, module): the module that an earlier passage of the same file has set last; null without one.
+
+    Only names go through the window; rows without a file or place carry nothing.
+    """
+    named = F.regexp_extract_all("text", F.lit("(?m)" + _MODULE.pattern), 1)
+    rows = chunks.where("id is not null").select("id", "file", "idx", F.when(F.size(named) > 0, F.element_at(named, -1)).alias("set")).distinct()
+    before = Window.partitionBy("file").orderBy("idx", "id").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.where("file is not null and idx is not null").select("id", F.last("set", True).over(before).alias("module"))
+    return placed.groupBy("id").agg(F.max("module").alias("module"))
+
+
 def resolve(chunks: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(chunk, target): the element each name stands for; the first form that any element has decides, and only if one element has it."""
+    """(chunk, target): the element each name stands for; the first form that any element has decides, and only if one element has it.
+
+    Where passages have a file and a place in it (idx), a module set in one holds in
+    those that follow.
+    """
 
     def run(batches):
         for batch in batches:
             rows: list[list] = [[], [], [], []]
-            for chunk, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for k, forms in enumerate(mentions(text)[0]):
+            for chunk, text, module in zip(*(c.to_pylist() for c in batch.columns)):
+                for k, forms in enumerate(mentions(text, module or "")[0]):
                     for order, form in enumerate(forms):
                         for c, v in zip(rows, (chunk, k, order, form)):
                             c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.string()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.int32()), pa.array(rows[3], pa.string())], ["chunk", "k", "order", "name"])
 
-    tries = chunks.where("text is not null").select("id", "text").distinct().mapInArrow(run, "chunk string, k int, order int, name string")
+    texts = chunks.where("text is not null").select("id", "text").distinct()
+    known = carried_modules(chunks) if {"file", "idx"} <= set(chunks.columns) else None
+    texts = texts.withColumn("module", F.lit(None).cast("string")) if known is None else texts.join(known, "id", "left")
+    tries = texts.select("id", "text", "module").mapInArrow(run, "chunk string, k int, order int, name string")
     index = name_index(nodes).groupBy("name").agg(F.count("*").alias("targets"), F.min("target").alias("target"))
     first = tries.join(index, "name").groupBy("chunk", "k").agg(F.min(F.struct("order", "targets", "target")).alias("x"))
     return first.where("x.targets = 1").select("chunk", F.col("x.target").alias("target")).distinct()
+
+
+def references(chunks: DataFrame, files: DataFrame) -> DataFrame:
+    """(chunk, file): documents that passages (id, file, text) refer to by :doc:, of ``files`` (file).
+
+    A path is looked up beside the passage's own file, or from the top of the
+    documentation if it begins with a slash; with the endings of documents in their
+    order, then as it stands; the first that is there counts.
+    """
+    role = r":doc:`(?:[^`<]*<([^>`]+)>|([^`<]+))`"
+    found = chunks.where("text is not null and file is not null").select("id", "file", F.explode(F.regexp_extract_all("text", F.lit(role), 0)).alias("x")).distinct()
+    path = F.trim(F.coalesce(F.nullif(F.regexp_extract("x", role, 1), F.lit("")), F.regexp_extract("x", role, 2)))
+    rows = found.withColumn("path", path)
+    top = F.regexp_extract("file", "^([^/]+)/", 1)
+    own = F.regexp_replace("file", "/?[^/]*$", "")
+    base = F.when(F.col("path").startswith("/"), top).otherwise(own)
+    full = F.concat_ws("/", F.filter(F.array(base, F.regexp_replace("path", "^/+", "")), lambda p: p != ""))
+    tries = F.array(*[F.struct(F.lit(i).alias("order"), _normal(F.concat(full, F.lit(s))).alias("other")) for i, s in enumerate((".rst", ".md", ".txt", ""))])
+    each = rows.select("id", "path", F.explode(tries).alias("t")).select("id", "path", "t.order", "t.other")
+    hit = each.join(files.select(F.col("file").alias("other")).distinct(), "other").groupBy("id", "path").agg(F.min(F.struct("order", "other")).alias("x"))
+    return hit.select(F.col("id").alias("chunk"), F.col("x.other").alias("file")).distinct()
+
+
+def _normal(path):
+    """A path without . and .. parts."""
+    step = lambda done, p: F.when((p == "") | (p == "."), done).when((p == "..") & (F.size(done) > 0), F.slice(done, 1, F.size(done) - 1)).otherwise(F.concat(done, F.array(p)))
+    return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")

@@ -60,17 +60,40 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("source").alias("a"), F.col("target").alias("b")).unionByName(edges.select(F.col("target").alias("a"), F.col("source").alias("b"))).distinct()
 
 
-def ball(seeds: DataFrame, steps: DataFrame, group: str, depth: int) -> DataFrame:
+#: edges of a node beyond which they are spread over several tasks
+HUB = 100_000
+
+
+def _parted(edges: DataFrame, key: str, other: str, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """Edges with ``part__``: those of a node with more than ``most`` go by a hash of their other end; and the hubs (key, parts__), if there are any."""
+    hubs = durable(edges.groupBy(key).agg(F.count("*").alias("n__")).where(F.col("n__") > most).select(key, F.ceil(F.col("n__") / most).cast("int").alias("parts__")))
+    if hubs.isEmpty():
+        return edges.withColumn("part__", F.lit(0)), None
+    marked = edges.join(hubs, key, "left")
+    return marked.withColumn("part__", F.pmod(F.xxhash64(other), F.coalesce("parts__", F.lit(1))).cast("int")).drop("parts__"), hubs
+
+
+def _at_parts(rows: DataFrame, key: str, hubs: DataFrame | None, name: str) -> DataFrame:
+    """Rows once for every part of their node's edges."""
+    if hubs is None:
+        return rows.withColumn("part__", F.lit(0))
+    marked = rows.join(hubs.withColumnRenamed(name, key), key, "left")
+    return marked.withColumn("part__", F.explode(F.sequence(F.lit(0), F.coalesce("parts__", F.lit(1)) - 1))).drop("parts__")
+
+
+def ball(seeds: DataFrame, steps: DataFrame, group: str, depth: int, hub: int = HUB) -> DataFrame:
     """(group, id, hop): what can be reached over ``steps`` (a, b) from the seeds (group, id), with the least number of steps.
 
     Each round joins the frontier only, and keeps what no earlier round reached;
-    rounds are cut off at the shared checkpoint folder.
+    rounds are cut off at the shared checkpoint folder.  The edges of a node with more
+    than ``hub`` of them are joined in parts.
     """
-    steps = durable(steps)
+    steps, hubs = _parted(durable(steps), "a", "b", hub)
+    steps = durable(steps) if hubs is not None else steps
     reached = frontier = durable(seeds.select(group, "id").distinct().withColumn("hop", F.lit(0)))
     rounds = [reached]
     for hop in range(1, depth + 1):
-        found = frontier.join(steps, F.col("id") == F.col("a")).select(group, F.col("b").alias("id")).distinct()
+        found = _at_parts(frontier.select(group, F.col("id").alias("a")), "a", hubs, "a").join(steps, ["a", "part__"]).select(group, F.col("b").alias("id")).distinct()
         frontier = durable(found.join(reached.select(group, "id"), [group, "id"], "left_anti").withColumn("hop", F.lit(hop)))
         if frontier.isEmpty():
             break
@@ -79,11 +102,12 @@ def ball(seeds: DataFrame, steps: DataFrame, group: str, depth: int) -> DataFram
     return reduce(lambda a, b: a.unionByName(b), rounds)
 
 
-def induced(edges: DataFrame, reached: DataFrame, group: str) -> DataFrame:
-    """(group, type, source, target): edges with both ends in the same group's set."""
-    a = reached.select(group, F.col("id").alias("source"))
+def induced(edges: DataFrame, reached: DataFrame, group: str, hub: int = HUB) -> DataFrame:
+    """(group, type, source, target): edges with both ends in the same group's set; those of a hub are joined in parts."""
+    edges, hubs = _parted(durable(edges.select("type", "source", "target")), "source", "target", hub)
+    a = _at_parts(reached.select(group, F.col("id").alias("source")), "source", hubs, "source")
     b = reached.select(F.col(group).alias("group__"), F.col("id").alias("target"))
-    return edges.join(a, "source").join(b.withColumnRenamed("group__", group), [group, "target"]).select(group, "type", "source", "target")
+    return edges.join(a, ["source", "part__"]).join(b.withColumnRenamed("group__", group), [group, "target"]).select(group, "type", "source", "target")
 
 
 def neighbours(edges: DataFrame, limit: int = 10) -> DataFrame:

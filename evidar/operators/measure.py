@@ -169,7 +169,7 @@ def depth_shares(listed: DataFrame, reached: DataFrame, group: str, top: int = 1
     """
     rows = listed.where(F.col("rank") <= top).join(reached.select(group, "id", "hop"), [group, "id"], "left").withColumn("depth", F.coalesce("hop", F.lit(most + 1)))
     size = rows.groupBy(group).agg(F.count("*").alias("all"))
-    return rows.groupBy(group, "depth").agg(F.count("*").alias("n")).join(size, group).select(group, "depth", F.round(F.col("n") / F.col("all"), 6).alias("share"))
+    return rows.groupBy(group, "depth").agg(F.count("*").alias("times__")).join(size, group).select(group, "depth", F.round(F.col("times__") / F.col("all"), 6).alias("share"))
 
 
 def average_ranks(df: DataFrame, value: str, out: str) -> DataFrame:
@@ -187,8 +187,8 @@ def average_ranks(df: DataFrame, value: str, out: str) -> DataFrame:
 def spearman(df: DataFrame, x: str, y: str) -> float | None:
     """Correlation of average ranks; None where a side has one value only."""
     both = average_ranks(average_ranks(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y), x, "rx"), y, "ry")
-    got = both.agg(F.corr("rx", "ry")).first()[0]
-    return None if got is None or got != got else float(got)
+    got = both.agg(F.covar_pop("rx", "ry").alias("c"), F.stddev_pop("rx").alias("x"), F.stddev_pop("ry").alias("y")).first()
+    return float(got.c / (got.x * got.y)) if got.x and got.y else None
 
 
 def permuted(x, y, rounds: int = ROUNDS, seed: int = SEED) -> float | None:

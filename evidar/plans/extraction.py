@@ -29,7 +29,7 @@ def _modules(spark, d):
 
 def doc_links(spark, d):
     """Elements that passages name, by the first form that exists."""
-    return docs.resolve(read(spark, d, "chunk"), domain.nodes(spark, d, "label", "name", "file"))
+    return docs.resolve(read(spark, d, "chunk").select("id", "file", "idx", "text"), domain.nodes(spark, d, "label", "name", "file"))
 
 
 def doc_passages(spark, d):

@@ -15,8 +15,14 @@ PASCAL_STOP = (
 # fixed values: keywords with which a commit closes a report; merge and squash marks
 CLOSES = r"(?i)\b(?:close[sd]?|fix(?:e[sd])?|resolve[sd]?)\b\s*:?\s*#(\d+)"
 _CLOSES_IN = r"(?i)\b(?:close[sd]?|fix(?:e[sd])?|resolve[sd]?)\b\s*:?\s*(?:https?://github\.com/{slug}/issues/|{slug}#|#)(\d+)"
-_WHOLE = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"  # ends of words in any script
 MERGED, SQUASHED = r"^Merge pull request #(\d+)", r"\(#(\d+)\)\s*$"
+_WHOLE = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"  # ends of words in any script
+# fixed values: what a name, a quoted name and the path of a Python file look like in a report
+PASCAL, SNAKE = r"[A-Z][a-zA-Z0-9]{2,}", r"[a-z][a-z0-9]*(?:_[a-z0-9]+)+"
+QUOTED, PYTHON_PATH = r"""[`'"]([a-zA-Z_][a-zA-Z0-9_]*)[`'"]""", r"[a-zA-Z0-9_/]+\.py"
+# fixed values: how an answer cites items of the evidence and names files
+CITED, TAG = r"\[([ECDHI]\d+(?:\s*[,;]\s*[ECDHI]\d+)*)\]", r"[ECDHI]\d+"
+FILE_LINE, SOURCE_PATH = r"(?i)FILE:\s*([\w/\-.]+\.\w+)", r"`([\w/\-.]+\.(?:py|swift|js|ts|java|go|rb|rs|kt|cpp|c|h))`"
 
 
 def tokenize_code(text: Column) -> Column:
@@ -26,10 +32,10 @@ def tokenize_code(text: Column) -> Column:
 
 def identifiers(text: Column) -> Column:
     """Sorted distinct names in a text: Pascal case, snake case, quoted ones, and paths of Python files with their base names."""
-    pascal = F.filter(F.regexp_extract_all(text, F.lit(_WHOLE[0] + r"[A-Z][a-zA-Z0-9]{2,}" + _WHOLE[1]), 0), lambda x: ~x.isin(PASCAL_STOP))
-    snake = F.regexp_extract_all(text, F.lit(_WHOLE[0] + r"[a-z][a-z0-9]*(?:_[a-z0-9]+)+" + _WHOLE[1]), 0)
-    quoted = F.filter(F.regexp_extract_all(text, F.lit(r"""[`'"]([a-zA-Z_][a-zA-Z0-9_]*)[`'"]"""), 1), lambda x: F.length(x) > 2)
-    paths = F.regexp_extract_all(text, F.lit(r"[a-zA-Z0-9_/]+\.py"), 0)
+    pascal = F.filter(F.regexp_extract_all(text, F.lit(_WHOLE[0] + PASCAL + _WHOLE[1]), 0), lambda x: ~x.isin(PASCAL_STOP))
+    snake = F.regexp_extract_all(text, F.lit(_WHOLE[0] + SNAKE + _WHOLE[1]), 0)
+    quoted = F.filter(F.regexp_extract_all(text, F.lit(QUOTED), 1), lambda x: F.length(x) > 2)
+    paths = F.regexp_extract_all(text, F.lit(PYTHON_PATH), 0)
     bases = F.filter(F.transform(paths, lambda p: F.replace(F.element_at(F.split(p, "/"), -1), F.lit(".py"), F.lit(""))), lambda b: (b != "") & ~b.isin(PASCAL_STOP))
     return F.array_sort(F.array_distinct(F.concat(pascal, snake, quoted, paths, bases)))
 
@@ -103,14 +109,14 @@ def comment_only(text: Column) -> Column:
 
 def cited_items(answer: Column) -> Column:
     """Tags like C2 or D1 in square brackets, in order, once each."""
-    groups = F.regexp_extract_all(answer, F.lit(r"\[([ECDHI]\d+(?:\s*[,;]\s*[ECDHI]\d+)*)\]"), 1)
-    return F.array_distinct(F.flatten(F.transform(groups, lambda g: F.regexp_extract_all(g, F.lit(r"[ECDHI]\d+"), 0))))
+    groups = F.regexp_extract_all(answer, F.lit(CITED), 1)
+    return F.array_distinct(F.flatten(F.transform(groups, lambda g: F.regexp_extract_all(g, F.lit(TAG), 0))))
 
 
 def answered_files(answer: Column) -> Column:
     """Paths after FILE: and paths of source files in back-ticks, in order, once each."""
-    named = F.regexp_extract_all(answer, F.lit(r"(?i)FILE:\s*([\w/\-.]+\.\w+)"), 1)
-    ticked = F.regexp_extract_all(answer, F.lit(r"`([\w/\-.]+\.(?:py|swift|js|ts|java|go|rb|rs|kt|cpp|c|h))`"), 1)
+    named = F.regexp_extract_all(answer, F.lit(FILE_LINE), 1)
+    ticked = F.regexp_extract_all(answer, F.lit(SOURCE_PATH), 1)
     return F.array_distinct(F.concat(named, ticked))
 
 

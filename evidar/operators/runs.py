@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import time
 import uuid
 from collections.abc import Callable
@@ -16,6 +17,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evidar.functions.text import CITED, TAG
+
 from . import context
 
 BLOCKS = ("run", "index", "config", "retrieval", "llm", "citations", "timing", "warnings")
@@ -84,10 +87,7 @@ def run(prompt: str, retrieve: Callable[[str], tuple[DataFrame, DataFrame]], con
 
 
 def _cited(answer: str) -> list[str]:
-    import re
-
-    groups = re.findall(r"\[([ECDHI]\d+(?:\s*[,;]\s*[ECDHI]\d+)*)\]", answer)
-    return list(dict.fromkeys(t for g in groups for t in re.findall(r"[ECDHI]\d+", g)))
+    return list(dict.fromkeys(t for g in re.findall(CITED, answer) for t in re.findall(TAG, g)))
 
 
 def summary(record: dict) -> dict:

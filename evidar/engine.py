@@ -236,8 +236,7 @@ class Engine:
         """The older search: seeds by name and words, what is around them, files by votes, and their sources; ((n, file, votes, place), (n, text))."""
         nodes = self.code()
         by_name = search.name_seeds(prompts.select("n", F.explode(identifiers(F.col("text"))).alias("name")), nodes)
-        plain = prompts.select("n", search.plain_query(F.col("text")).alias("text"))
-        by_words = search.words(plain, nodes.where("label <> 'Module'").select("id", F.concat_ws(" ", "name", "source").alias("text")), top=search.WORD_SEEDS)
+        by_words = search.english_words(prompts, nodes.where("label <> 'Module'"), terms.stop_words(self.spark))
         seeds = durable(search.seeds(by_name, by_words))
         near = durable(search.neighbourhood(seeds, graph.both_ways(self.table("edges").select("source", "target")), depth=depth))
         return search.voted_files(near, seeds, nodes), search.graph_context(near, seeds, self.table("edges"), nodes)

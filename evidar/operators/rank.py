@@ -25,24 +25,24 @@ def ranked(df: DataFrame, group: str, order: list[Column], limit: int | None = N
     return placed if base == 1 else placed.withColumn(out, F.col(out) + (base - 1))
 
 
-def bm25(queries: DataFrame, docs: DataFrame, query_key: str, doc_key: str, depth: int = DEPTH, only: DataFrame | None = None) -> DataFrame:
+def bm25(queries: DataFrame, docs: DataFrame, query_key: str, doc_key: str, depth: int = DEPTH, only: DataFrame | None = None, terms=index.tokenize_code, k1: float = index.K1, b: float = index.B) -> DataFrame:
     """(query, doc, score, rank): BM25 lists of ``depth``, best first, ties by doc.
 
     Both inputs have (key, text).  Documents no query term is in have a score of 0
     and fill a list that would be shorter.  A term repeated in a query counts as often.
     With ``only`` (doc) the others lend their words to the weights but aren't listed.
     """
-    post = durable(index.postings(docs, [doc_key], F.col("text")))
+    post = durable(index.postings(docs, [doc_key], F.col("text"), terms))
     count = docs.count()
     length = post.groupBy(doc_key).agg(F.sum("tf").alias("dl"))
     average = (length.agg(F.sum("dl")).first()[0] or 0) / max(1, count)
     idf = index.bm25_idf(index.frequencies(post), count)
-    norm = index.K1 * (1 - index.B + index.B * F.col("dl") / F.lit(float(average or 1)))
-    weights = post.join(length, doc_key).join(idf, "term").select(doc_key, "term", (F.col("idf") * F.col("tf") * (index.K1 + 1) / (F.col("tf") + norm)).alias("w"))
+    norm = k1 * (1 - b + b * F.col("dl") / F.lit(float(average or 1)))
+    weights = post.join(length, doc_key).join(idf, "term").select(doc_key, "term", (F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)).alias("w"))
     if only is not None:
         weights = weights.join(only.select(doc_key).distinct(), doc_key, "left_semi")
         docs = docs.join(only.select(doc_key).distinct(), doc_key, "left_semi")
-    wanted = index.postings(queries, [query_key], F.col("text")).select(query_key, "term", F.col("tf").cast("double").alias("w"))
+    wanted = index.postings(queries, [query_key], F.col("text"), terms).select(query_key, "term", F.col("tf").cast("double").alias("w"))
     top = durable(blocks.products(wanted, weights, query_key, doc_key, depth, post.count()))
     # a list of fewer than depth hits has all positive scores, and none is negative; the first
     # 2 * depth documents hold enough that it doesn't have

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evidar.functions.terms import issue_terms
+
 from . import rank
 from .graph import ball
 from .rank import ranked
@@ -35,6 +38,43 @@ def words(queries: DataFrame, docs: DataFrame, group: str = "n", key: str = "id"
     return rank.bm25(queries, docs, group, key, top).where("score > 0")
 
 
+def english_words(queries: DataFrame, nodes: DataFrame, stop: list[str], group: str = "n", top: int = WORD_SEEDS) -> DataFrame:
+    """(group, id, score, rank): elements by the stems of their names and sources, weighed as a full-text index would (k1 1.2, b 0.75)."""
+    docs = nodes.select("id", F.concat_ws(" ", "name", "source").alias("text"))
+    asked = queries.select(group, plain_query(F.col("text")).alias("text"))
+    return rank.bm25(asked, docs, group, "id", top, terms=lambda t: issue_terms(t, stop), k1=1.2, b=0.75).where("score > 0")
+
+
+def everything(queries: DataFrame, code: DataFrame, chunks: DataFrame, group: str = "n", top: int = 50) -> DataFrame:
+    """(group, id, score, rank): elements and passages (id, text) by words, in one list."""
+    return words(queries, code.select("id", "text").unionByName(chunks.select("id", "text")), group, "id", top)
+
+
+def reranked(candidates: DataFrame, queries: DataFrame, texts: DataFrame, score, group: str = "n", key: str = "id", top: int = 50) -> DataFrame:
+    """(group, key, score, rank): candidates in the order of a model that reads a query and a text together.
+
+    ``score`` gets a list of pairs and gives a number for each; candidates without a
+    text are left out.
+    """
+    pairs = candidates.select(group, key).distinct().join(queries.select(group, F.col("text").alias("asked")), group).join(texts.select(key, "text"), key).where("text is not null and asked is not null")
+    kinds = [pairs.schema[c].dataType.simpleString() for c in (group, key)]
+
+    def run(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                got = score(list(zip(part.column(2).to_pylist(), part.column(3).to_pylist())))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([float(x) for x in got], pa.float64())], [group, key, "score"])
+
+    told = pairs.select(group, key, "asked", "text").mapInArrow(run, f"{group} {kinds[0]}, {key} {kinds[1]}, score double")
+    return ranked(told.withColumn("score", F.round("score", 9)), group, [F.desc("score"), F.asc(key)], top)
+
+
+def covered(near: DataFrame, voted: DataFrame, group: str = "n") -> DataFrame:
+    """(group, id): elements that are near a list or that documentation votes for, once each."""
+    return near.select(group, "id").unionByName(voted.select(group, "id")).distinct()
+
+
 def hybrid(by_words: DataFrame, by_vector: DataFrame, group: str = "n", key: str = "id", top: int = 10, pool: int = 50) -> DataFrame:
     """(group, key, score, rank): fusion of the first ``pool`` of both lists, ranks counted from 0."""
     lists = [x.where(F.col("rank") <= pool).select(group, key, (F.col("rank") - 1).alias("rank")) for x in (by_words, by_vector)]

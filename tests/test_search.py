@@ -194,3 +194,17 @@ def test_hubs_are_joined_in_parts(spark):
     near = spark.createDataFrame([(1, "hub"), (1, "v3"), (2, "v4"), (1, "v9")], "n int, id string")
     a, b = ({tuple(r) for r in graph.induced(edges, near, "n", hub=h).collect()} for h in (10_000, 7))
     assert a == b == {(1, "Calls", "hub", "v3"), (1, "Calls", "hub", "v9")}
+
+
+def test_stems_both_kinds_and_models(spark):
+    from evidar.functions import terms
+
+    nodes = spark.createDataFrame([("a", "run_all", "starting jobs"), ("b", "stop", "the end"), ("c", "other", "words here"), ("d", "more", "words there")], "id string, name string, source string")
+    asked = spark.createDataFrame([(1, "started (running) the: job"), (2, "the")], "n int, text string")
+    assert [(r.n, r.id) for r in search.english_words(asked, nodes, terms.stop_words(spark)).collect()] == [(1, "a")]
+    code, chunks = spark.createDataFrame([("a", "red fish"), ("b", "blue"), ("c", "green")], "id string, text string"), spark.createDataFrame([("k", "red red")], "id string, text string")
+    words = spark.createDataFrame([(1, "blue")], "n int, text string")
+    assert [r.id for r in search.everything(words, code, chunks).collect()] == ["b"]
+    got = search.reranked(code.withColumn("n", F.lit(1)), words, code, lambda pairs: [len(t) for _, t in pairs], top=2).orderBy("rank").collect()
+    assert [(r.id, r.score) for r in got] == [("a", 8.0), ("c", 5.0)]
+    assert search.covered(code.withColumn("n", F.lit(1)), code.withColumn("n", F.lit(1))).count() == 3

@@ -119,24 +119,25 @@ def locus(queries: DataFrame, hunks: DataFrame, units: DataFrame, names: DataFra
     terms from a text.  An element with fixes only is ranked too; scores of 0 aren't.
     """
     count = hunks.count()
-
-    def side(terms, allowed):
-        post = durable(index.postings(hunks, ["hunk"], F.col("text"), terms))
-        asked = index.postings(queries, [query_key], F.col("text"), terms)
-        if allowed:
-            post, asked = post.join(names, "term", "left_semi"), asked.join(names, "term", "left_semi")
-        df = index.frequencies(post)
-        return blocks.products(index.tfidf(asked, df, [query_key], count), index.tfidf(post, df, ["hunk"], count), query_key, "hunk", count=post.count()), asked
-
-    natural, _ = side(words, False)
-    code, asked = side(codes, True)
+    # words and names of code are terms of two kinds in one index, each kind with rows of unit length; so
+    # one product gives the sum of both sides
+    marked = lambda kind, own: F.transform(own, lambda w: F.concat(F.lit(kind), w))
+    both = lambda t: F.concat(marked("n:", words(t)), marked("c:", codes(t)))
+    known = names.select(F.concat(F.lit("c:"), "term").alias("term"), F.lit(True).alias("known")).distinct()
+
+    def sided(rows: DataFrame, key: str) -> DataFrame:
+        found = index.postings(rows, [key], F.col("text"), both).join(known, "term", "left").where(F.col("known") | F.col("term").startswith("n:"))
+        return durable(found.select(key, F.substring("term", 1, 1).alias("side"), "term", "tf"))
+
+    post, asked = sided(hunks, "hunk"), sided(queries, query_key)
+    df = index.frequencies(post)
     total = queries.select(query_key, F.size(index.tokenize_code(F.col("text"))).alias("tokens"))
-    alpha = total.join(asked.groupBy(query_key).agg(F.sum("tf").alias("names")), query_key, "left").select(
+    alpha = total.join(asked.where("side = 'c'").groupBy(query_key).agg(F.sum("tf").alias("names")), query_key, "left").select(
         query_key, F.least(F.lit(1.0), LAMBDA * F.coalesce("names", F.lit(0)) / F.greatest(F.lit(1), "tokens")).alias("alpha")
     )
-    both = natural.withColumnRenamed("score", "nl").join(code.withColumnRenamed("score", "ce"), [query_key, "hunk"], "full").join(alpha, query_key)
-    both = both.select(query_key, "hunk", (F.coalesce("nl", F.lit(0.0)) + F.col("alpha") * F.coalesce("ce", F.lit(0.0))).alias("s"))
-    best = durable(both.join(hunks.select("hunk", F.explode("ids").alias("key")), "hunk").groupBy(query_key, "key").agg(F.max("s").alias("best")))
+    weighed = index.tfidf(asked, df, [query_key, "side"], count).join(alpha, query_key).select(query_key, "term", (F.col("w") * F.when(F.col("side") == "c", F.col("alpha")).otherwise(1.0)).alias("w"))
+    both_sides = blocks.products(weighed, index.tfidf(post, df, ["hunk", "side"], count), query_key, "hunk", count=post.count())
+    best = durable(both_sides.join(hunks.select("hunk", F.explode("ids").alias("key")), "hunk").groupBy(query_key, "key").agg(F.max("score").alias("best")))
     fix = durable(fix_recency(units, at))
     # of elements with fixes only, no more than depth can be in a list: the best 2 * depth suffice
     top = ranked(fix.join(elements.select("key"), "key", "left_semi").withColumn("one", F.lit(1)), "one", [F.desc("fix"), F.asc("key")], 2 * depth)

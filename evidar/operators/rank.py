@@ -35,7 +35,8 @@ def bm25(queries: DataFrame, docs: DataFrame, query_key: str, doc_key: str, dept
     post = durable(index.postings(docs, [doc_key], F.col("text"), terms))
     count = docs.count()
     length = post.groupBy(doc_key).agg(F.sum("tf").alias("dl"))
-    average = (length.agg(F.sum("dl")).first()[0] or 0) / max(1, count)
+    said = post.agg(F.sum("tf").alias("words"), F.count("*").alias("rows")).first()
+    average = (said.words or 0) / max(1, count)
     idf = index.bm25_idf(index.frequencies(post), count)
     norm = k1 * (1 - b + b * F.col("dl") / F.lit(float(average or 1)))
     weights = post.join(length, doc_key).join(idf, "term").select(doc_key, "term", (F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)).alias("w"))
@@ -43,7 +44,7 @@ def bm25(queries: DataFrame, docs: DataFrame, query_key: str, doc_key: str, dept
         weights = weights.join(only.select(doc_key).distinct(), doc_key, "left_semi")
         docs = docs.join(only.select(doc_key).distinct(), doc_key, "left_semi")
     wanted = index.postings(queries, [query_key], F.col("text"), terms).select(query_key, "term", F.col("tf").cast("double").alias("w"))
-    top = durable(blocks.products(wanted, weights, query_key, doc_key, depth, post.count()))
+    top = durable(blocks.products(wanted, weights, query_key, doc_key, depth, said.rows))
     # a list of fewer than depth hits has all positive scores, and none is negative; the first
     # 2 * depth documents hold enough that it doesn't have
     short = durable(queries.select(query_key).distinct().join(top.groupBy(query_key).agg(F.count("*").alias("hits")), query_key, "left").where(F.coalesce("hits", F.lit(0)) < depth))

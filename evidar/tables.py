@@ -15,15 +15,15 @@ def read(spark: SparkSession, directory: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df``, a table as it is read, in at least as many partitions as there are cores.
+    """``df``, a table as it is read, dealt out over the cores if most of them would have nothing of it.
 
     A small file of one row group is read by one task, whatever is then done to its
-    rows.  A table that comes in enough partitions stays as it is.
+    rows.  A table that comes in more partitions than half the number of cores stays as it is.
     """
     cores, plan = df.sparkSession.sparkContext.defaultParallelism, df._jdf.queryExecution().executedPlan()
     if plan.nodeName().startswith("AdaptiveSparkPlan"):  # not just read: it is shuffled already
         return df
-    return df.repartition(cores) if plan.execute().getNumPartitions() < cores else df
+    return df.repartition(cores) if 2 * plan.execute().getNumPartitions() <= cores else df
 
 
 def shared_folder(session: SparkSession) -> str:

@@ -178,7 +178,7 @@ def encode_table(df: DataFrame, keep: list[str], text: str, out: str = "ids", fo
 
     Null and empty texts give an empty list, null keys stay null, repeated rows
     stay repeated, other columns are not read, an empty table gives an empty one.
-    No shuffle, unless the table comes in fewer partitions than there are cores.
+    No shuffle, unless most cores would have nothing of the table.
     """
     return _apply(df, keep, text, out, folder, vocabulary, False)
 

@@ -62,22 +62,16 @@ def fixed_elements(spark, d):
     return domain.gold(spark, d)
 
 
-def _similar(spark, d):
-    reports = domain.reports(spark, d).where("not pr")
-    return issues.similar_reports(domain.prompts(spark, d), reports, "n")
-
-
 def simiscore(spark, d):
-    found = issues.simi_score(_similar(spark, d), domain.gold(spark, d), domain.keys(spark, d), "n", "doc")
+    similar = issues.similar_reports(domain.prompts(spark, d), domain.reports(spark, d).where("not pr"), "n")
+    found = issues.simi_score(similar, domain.gold(spark, d), domain.keys(spark, d), "n", "doc")
     return found.select(F.col("n").cast("bigint").alias("n"), "key", six("score").alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
 def issue_pool(spark, d):
     """The ten most similar reports that fixed something."""
-    from evidar.operators.rank import ranked
-
-    fixed = domain.gold(spark, d).select(F.col("n").alias("doc")).distinct()
-    pool = ranked(_similar(spark, d).where("sim > 0").join(fixed, "doc", "left_semi"), "n", [F.desc("sim"), F.asc("doc")], 10)
+    fixed = domain.gold(spark, d).select(F.col("n").alias("doc"))
+    pool = issues.most_similar(domain.prompts(spark, d), domain.reports(spark, d).where("not pr"), "n", 10, among=fixed)
     return pool.select(F.col("n").cast("bigint").alias("n"), F.col("doc").cast("bigint").alias("doc"), six("sim").alias("sim"), F.col("rank").cast("bigint").alias("rank"))
 
 

@@ -63,8 +63,7 @@ def fixed_elements(spark, d):
 
 
 def simiscore(spark, d):
-    similar = issues.similar_reports(domain.prompts(spark, d), domain.reports(spark, d).where("not pr"), "n")
-    found = issues.simi_score(similar, domain.gold(spark, d), domain.keys(spark, d), "n", "doc")
+    found = issues.simi_rank(domain.prompts(spark, d), domain.reports(spark, d).where("not pr"), domain.gold(spark, d), domain.keys(spark, d), "n")
     return found.select(F.col("n").cast("bigint").alias("n"), "key", six("score").alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 

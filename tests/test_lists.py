@@ -29,3 +29,16 @@ def test_most_similar_of_those_that_fixed_something(spark, reports, monkeypatch)
     monkeypatch.setattr(issues, "similar_reports", None)  # no list of all pairs is made
     monkeypatch.setattr(blocks, "PIECE", 3)
     assert listed(issues.most_similar(queries, reports, "n", 4, among=among), "n", "doc", "sim", "rank") == want
+
+
+@pytest.mark.parametrize(("cell", "hot"), [(1_000_000, 1_000), (40, 1_000), (40, 2)])
+def test_elements_by_similar_reports_without_all_pairs(spark, reports, monkeypatch, cell, hot):
+    queries = reports.where("n % 3 = 0")
+    fixed = spark.createDataFrame([(n, f"k{(n * m) % 11}") for n in range(0, 60, 2) for m in (1, 3)], "n int, key string").distinct()
+    elements = fixed.select("key").distinct().where("key <> 'k5'")
+    want = listed(issues.simi_score(all_pairs(reports, queries), fixed, elements, "n", "doc", 5), "n", "key", "score", "rank")
+    gathered = blocks.gathered
+    monkeypatch.setattr(issues, "similar_reports", None)
+    monkeypatch.setattr(blocks, "gathered", lambda *a, **k: gathered(*a, **k, cell=cell, hot=hot))
+    got = listed(issues.simi_rank(queries, reports, fixed, elements, "n", depth=5), "n", "key", "score", "rank")
+    assert [x[:2] + x[3:] for x in got] == [x[:2] + x[3:] for x in want] and [x[2] for x in got] == pytest.approx([x[2] for x in want])

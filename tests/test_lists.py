@@ -42,3 +42,17 @@ def test_elements_by_similar_reports_without_all_pairs(spark, reports, monkeypat
     monkeypatch.setattr(blocks, "gathered", lambda *a, **k: gathered(*a, **k, cell=cell, hot=hot))
     got = listed(issues.simi_rank(queries, reports, fixed, elements, "n", depth=5), "n", "key", "score", "rank")
     assert [x[:2] + x[3:] for x in got] == [x[:2] + x[3:] for x in want] and [x[2] for x in got] == pytest.approx([x[2] for x in want])
+
+
+def test_floors_hold_for_a_query_key_of_any_name(spark):
+    r = random.Random(5)
+    rows = [(d, f"t{r.randrange(25)}", float(r.randrange(1, 5))) for d in range(120) for _ in range(10)]
+    asked = [(n, f"t{r.randrange(25)}", 1.0) for n in range(5) for _ in range(6)]
+    a, b = spark.createDataFrame(asked, "n int, term string, w double"), spark.createDataFrame(rows, "d int, term string, w double")
+    want = {n: {} for n in range(5)}
+    for n, t, x in asked:
+        for d, u, y in rows:
+            if t == u:
+                want[n][d] = want[n].get(d, 0.0) + x * y
+    want = sorted((n, d) for n, own in want.items() for d in sorted(own, key=lambda d: (-round(own[d], 9), d))[:4])
+    assert listed(blocks.products(a, b, "n", "d", 4, cell=30), "n", "d") == want  # over FIRST cells

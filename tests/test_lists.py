@@ -56,3 +56,13 @@ def test_floors_hold_for_a_query_key_of_any_name(spark):
                 want[n][d] = want[n].get(d, 0.0) + x * y
     want = sorted((n, d) for n, own in want.items() for d in sorted(own, key=lambda d: (-round(own[d], 9), d))[:4])
     assert listed(blocks.products(a, b, "n", "d", 4, cell=30), "n", "d") == want  # over FIRST cells
+
+
+def test_words_of_a_document_that_comes_twice_count_once_more(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "PIECE", 2)
+    docs = spark.createDataFrame([("b", "red fish"), ("a", "red fish blue fish"), ("b", "two fish"), ("c", None), ("d", "two"), ("e", "old hat"), ("f", "new hat")], "id string, text string")
+    once = docs.groupBy("id").agg(F.concat_ws(" ", F.sort_array(F.collect_list("text"))).alias("text"))
+    queries = spark.createDataFrame([(1, "two red fish")], "n int, text string")
+    got = rank.bm25(queries, docs, "n", "id", depth=3).collect()
+    assert [r.id for r in sorted((r for r in got if r.n == 1), key=lambda r: r.rank)] == ["b", "a", "d"]
+    assert {r.id for r in rank.bm25(queries, once, "n", "id", depth=3).where("n = 1").collect()} == {"a", "b", "d"}

@@ -66,3 +66,11 @@ def test_words_of_a_document_that_comes_twice_count_once_more(spark, monkeypatch
     got = rank.bm25(queries, docs, "n", "id", depth=3).collect()
     assert [r.id for r in sorted((r for r in got if r.n == 1), key=lambda r: r.rank)] == ["b", "a", "d"]
     assert {r.id for r in rank.bm25(queries, once, "n", "id", depth=3).where("n = 1").collect()} == {"a", "b", "d"}
+
+
+def test_most_similar_of_those_written_before(spark, reports, monkeypatch):
+    queries = reports.where("n % 3 = 1")
+    safe = issues.known_before(all_pairs(reports, queries), queries, reports, "n", margin=2)
+    want = listed(rank.ranked(safe, "n", [F.desc("sim"), F.asc("doc")], 4), "n", "doc", "sim", "rank")
+    monkeypatch.setattr(issues, "similar_reports", None)
+    assert listed(issues.most_similar(queries, reports, "n", 4, margin=2), "n", "doc", "sim", "rank") == want and want

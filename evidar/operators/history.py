@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidar.functions.text import hunk_body, is_bugfix, module_name
-from evidar.tables import durable
+from evidar.tables import durable, stored
 
 from . import blocks, index
 from .rank import DEPTH, RRF_K, ranked
@@ -52,42 +52,79 @@ def message_scores(queries: DataFrame, units: DataFrame, query_key: str, depth:
 
     The text of a commit is its ``text`` if there is one, else its message.
     """
+    asked, docs, count = _weighed(queries, units, query_key, "h", terms)
+    return blocks.products(asked, docs, query_key, "h", depth, count).select(query_key, "h", F.round("score", 9).alias("cos")).where("cos > 0")
+
+
+def _weighed(queries: DataFrame, units: DataFrame, query_key: str, key: str, terms) -> tuple[DataFrame, DataFrame, int]:
+    """Queries and commits under tf-idf of the commits, and the number of the commits' postings."""
     text = F.col("text") if "text" in units.columns else F.coalesce("msg", F.lit(""))
-    post = durable(index.postings(units.select("h", text.alias("text")), ["h"], F.col("text"), terms))
+    post = stored(index.postings(units.select(key, text.alias("text")), [key], F.col("text"), terms))
     df, count = index.frequencies(post), units.count()
-    docs = index.tfidf(post, df, ["h"], count)
     asked = index.tfidf(index.postings(queries, [query_key], F.col("text"), terms), df, [query_key], count)
-    return blocks.products(asked, docs, query_key, "h", depth, post.count()).select(query_key, "h", F.round("score", 9).alias("cos")).where("cos > 0")
+    return asked, index.tfidf(post, df, [key], count), post.count()
+
 
+#: from this place in the list by text on, scores of neighbours may be equal in nine digits
+FAR = 30_000
 
-def commit_scores(queries: DataFrame, fit: DataFrame, listed: DataFrame, query_key: str, terms=index.tokenize_code) -> DataFrame:
+
+def commit_scores(queries: DataFrame, fit: DataFrame, listed: DataFrame, query_key: str, depth: int, elements: DataFrame | None = None, terms=index.tokenize_code, far: int = FAR) -> DataFrame:
     """(query, h, t, cos, best, s): commits in the list by text or in the list by code, and what both give them.
 
     A commit's score adds 1 / (60 + rank) in the list by text and in the list by the
     best rank of its elements in ``listed`` (query, key, rank); ``cos`` is 0 and
     ``best`` null where it isn't in one.  Ties go to the newer commit, then by hash.
+
+    Not all commits are given: those in the list by code, and of the others as many as
+    the ``depth`` best commits can come from, or with ``elements`` (key) the best of each of
+    the elements that the ``depth`` best elements can come from.  Their places are in the whole list.
     """
-    touched = touches(fit)
-    text = ranked(message_scores(queries, fit, query_key, terms=terms).join(fit.select("h", "t"), "h"), query_key, [F.desc("cos"), F.desc("t"), F.asc("h")])
-    near = touched.join(listed.select(query_key, "key", "rank"), "key").groupBy(query_key, "h").agg(F.min("rank").alias("best"), F.max("t").alias("t"))
-    near = ranked(near, query_key, [F.asc("best"), F.desc("t"), F.asc("h")])
+    # o numbers the commits so that ties go by it
+    fit = stored(fit.orderBy(F.desc_nulls_last("t"), F.asc("h")).withColumn("o", F.monotonically_increasing_id()))
+    touched = fit.select("o", F.explode("touch").alias("key")).distinct()
+    near = touched.join(listed.select(query_key, "key", "rank"), "key").groupBy(query_key, "o").agg(F.min("rank").cast("bigint").alias("best"))
+    near = durable(ranked(near, query_key, [F.asc("best"), F.asc("o")], out="near"))
+    asked, docs, _ = _weighed(queries, fit, query_key, "o", terms)
+    asked, docs = durable(blocks.packed(asked, query_key)), stored(blocks.packed(docs, "o"))
+    own = None if elements is None else durable(touched.join(elements.select("key"), "key", "left_semi"))
+    first = [F.desc("score"), F.asc("o")]
+
+    def head(asked: DataFrame, depth: int | None) -> DataFrame:
+        """(query, o, score, lead): of the commits in the list by text those that count, with their cosines."""
+        found = durable(blocks.leading(asked, docs, near.select(query_key, "o"), query_key, "o", depth, own))
+        if own is None:
+            lead = ranked(found, query_key, first, depth).select(query_key, "o")
+        else:
+            keyed = ranked(ranked(found.join(own, "o"), [query_key, "key"], first, 1), query_key, [*first, F.asc("key")], depth)
+            lead = keyed.select(query_key, "o").distinct()
+        some = found.join(lead.withColumn("lead", F.lit(True)), [query_key, "o"], "left")
+        some = durable(some.join(near.select(query_key, "o", "best"), [query_key, "o"], "left").where("lead or best is not null").select(query_key, "o", "score", "lead"))
+        return durable(some.join(blocks.places(asked, docs, some, query_key, "o"), [query_key, "o"]))
+
+    text = head(asked, depth)
+    if own is not None:  # where the last of the list lies so far down that others may equal it, every element's best is taken
+        deep = durable(text.where("lead").groupBy(query_key).agg(F.max("rank").alias("last")).where(F.col("last") > far).select(query_key))
+        if not deep.isEmpty():
+            text = text.join(deep, query_key, "left_anti").unionByName(head(durable(asked.join(deep, query_key, "left_semi")), None))
     none = F.lit(None)
-    both = text.select(query_key, "h", "t", "cos", none.cast("bigint").alias("best"), "rank").unionByName(near.select(query_key, "h", "t", F.lit(0.0).alias("cos"), F.col("best").cast("bigint").alias("best"), "rank"))
-    return both.groupBy(query_key, "h").agg(F.max("t").alias("t"), F.max("cos").alias("cos"), F.max("best").alias("best"), F.sum(1.0 / (RRF_K + F.col("rank"))).alias("s"))
+    both = text.select(query_key, "o", F.col("score").alias("cos"), none.cast("bigint").alias("best"), "rank").unionByName(near.select(query_key, "o", F.lit(0.0).alias("cos"), "best", F.col("near").cast("bigint").alias("rank")))
+    scored = both.groupBy(query_key, "o").agg(F.max("cos").alias("cos"), F.max("best").alias("best"), F.sum(1.0 / (RRF_K + F.col("rank"))).alias("s"))
+    return scored.join(fit.select("o", "h", "t"), "o").select(query_key, "h", "t", "cos", "best", "s")
 
 
 def message_rank(queries: DataFrame, units: DataFrame, listed: DataFrame, elements: DataFrame, query_key: str, depth: int = DEPTH, terms=index.tokenize_code) -> DataFrame:
     """(query, key, score, rank): elements by their best commit, of those ``eligible`` lets through."""
-    fit = durable(units.join(eligible(units, elements).select("h"), "h", "left_semi"))
-    scored = commit_scores(queries, fit, listed, query_key, terms)
+    fit = stored(units.join(eligible(units, elements).select("h"), "h", "left_semi"))
+    scored = commit_scores(queries, fit, listed, query_key, depth, elements, terms)
     best = scored.join(touches(fit).select("h", "key"), "h").join(elements.select("key"), "key", "left_semi").groupBy(query_key, "key").agg(F.round(F.max("s"), 9).alias("score"))
     return ranked(best, query_key, [F.desc("score"), F.asc("key")], depth)
 
 
 def message_pool(queries: DataFrame, units: DataFrame, listed: DataFrame, elements: DataFrame, query_key: str, size: int = 10, terms=index.tokenize_code) -> DataFrame:
     """(query, h, t, cos, best, s, rank): the commits that say most, ties to the newer one, then by hash."""
-    fit = durable(units.join(eligible(units, elements).select("h"), "h", "left_semi"))
-    scored = commit_scores(queries, fit, listed, query_key, terms).withColumn("s", F.round("s", 9))
+    fit = stored(units.join(eligible(units, elements).select("h"), "h", "left_semi"))
+    scored = commit_scores(queries, fit, listed, query_key, size, terms=terms).withColumn("s", F.round("s", 9))
     return ranked(scored, query_key, [F.desc("s"), F.desc("t"), F.asc("h")], size)
 
 

@@ -74,3 +74,28 @@ def test_most_similar_of_those_written_before(spark, reports, monkeypatch):
     want = listed(rank.ranked(safe, "n", [F.desc("sim"), F.asc("doc")], 4), "n", "doc", "sim", "rank")
     monkeypatch.setattr(issues, "similar_reports", None)
     assert listed(issues.most_similar(queries, reports, "n", 4, margin=2), "n", "doc", "sim", "rank") == want and want
+
+
+def test_elements_by_commits_have_the_places_of_the_whole_list(spark):
+    r = random.Random(4)
+    units = [(f"h{i:02}", r.randrange(6), " ".join(r.choice("abcdefg") for _ in range(r.randrange(1, 6))), sorted({f"k{int(r.random() ** 2 * 14)}" for _ in range(3)})) for i in range(50)]
+    fit = spark.createDataFrame(units, "h string, t bigint, msg string, touch array<string>")
+    asked = spark.createDataFrame([(n, " ".join(r.choice("abcdefg") for _ in range(4))) for n in range(5)], "n int, text string")
+    near = spark.createDataFrame([(n, f"k{(n + m) % 14}", m + 1) for n in range(5) for m in range(2)], "n int, key string, rank int")
+    elements = fit.select(F.explode("touch").alias("key")).distinct()
+    cos, t, touch = {(x.n, x.h): x.cos for x in history.message_scores(asked, fit, "n").collect()}, {u[0]: u[1] for u in units}, {u[0]: u[3] for u in units}
+    listed_ = {(x.n, x.key): x.rank for x in near.collect()}
+    want = []
+    for n in range(5):
+        text = sorted((h for m, h in cos if m == n), key=lambda h: (-cos[n, h], -t[h], h))
+        best = {h: min(listed_[n, k] for k in touch[h] if (n, k) in listed_) for h in touch if any((n, k) in listed_ for k in touch[h])}
+        code = sorted(best, key=lambda h: (best[h], -t[h], h))
+        s = {h: (1 / (61 + text.index(h)) if h in text else 0) + (1 / (61 + code.index(h)) if h in code else 0) for h in {*text, *code}}
+        score = {}
+        for h, x in s.items():
+            for k in touch[h]:
+                score[k] = max(score.get(k, 0), round(x, 9))
+        want += [(n, k) for k in sorted(score, key=lambda k: (-score[k], k))[:6]]
+    assert listed(history.message_rank(asked, fit, near, elements, "n", 6), "n", "key") == sorted(want)
+    some = history.commit_scores(asked, fit, near, "n", 6, elements, far=0)  # every element's best where the list goes deep
+    assert {(x.n, x.h) for x in some.where("best is not null").collect()} == {(n, h) for n in range(5) for h in touch if any((n, k) in listed_ for k in touch[h])}

@@ -164,7 +164,7 @@ def locus(queries: DataFrame, hunks: DataFrame, units: DataFrame, names: DataFra
 
     def sided(rows: DataFrame, key: str) -> DataFrame:
         found = index.postings(rows, [key], F.col("text"), both).join(known, "term", "left").where(F.col("known") | F.col("term").startswith("n:"))
-        return durable(found.select(key, F.substring("term", 1, 1).alias("side"), "term", "tf"))
+        return stored(found.select(key, F.substring("term", 1, 1).alias("side"), "term", "tf"))
 
     post, asked = sided(hunks, "hunk"), sided(queries, query_key)
     df = index.frequencies(post)
@@ -173,17 +173,17 @@ def locus(queries: DataFrame, hunks: DataFrame, units: DataFrame, names: DataFra
         query_key, F.least(F.lit(1.0), LAMBDA * F.coalesce("names", F.lit(0)) / F.greatest(F.lit(1), "tokens")).alias("alpha")
     )
     weighed = index.tfidf(asked, df, [query_key, "side"], count).join(alpha, query_key).select(query_key, "term", (F.col("w") * F.when(F.col("side") == "c", F.col("alpha")).otherwise(1.0)).alias("w"))
-    both_sides = blocks.products(weighed, index.tfidf(post, df, ["hunk", "side"], count), query_key, "hunk", count=post.count())
-    best = durable(both_sides.join(hunks.select("hunk", F.explode("ids").alias("key")), "hunk").groupBy(query_key, "key").agg(F.max("score").alias("best")))
     fix = durable(fix_recency(units, at))
+    belongs = hunks.select("hunk", F.explode("ids").alias("key")).distinct().join(elements.select("key"), "key", "left_semi").join(fix, "key", "left")
+    belongs = belongs.select("hunk", "key", F.lit(1.0).alias("size"), (BETA * F.coalesce("fix", F.lit(0.0))).alias("plus"))
+    best = durable(blocks.gathered(weighed, index.tfidf(post, df, ["hunk", "side"], count), belongs, query_key, "hunk", "key", "max", depth))
     # of elements with fixes only, no more than depth can be in a list: the best 2 * depth suffice
     top = ranked(fix.join(elements.select("key"), "key", "left_semi").withColumn("one", F.lit(1)), "one", [F.desc("fix"), F.asc("key")], 2 * depth)
     spare = top.groupBy("one").agg(F.collect_list("key").alias("keys"))  # one row that holds 2 * depth keys
     more = queries.select(query_key).distinct().withColumn("one", F.lit(1)).join(spare, "one").select(query_key, F.explode("keys").alias("key"))
-    best = best.unionByName(more.join(best, [query_key, "key"], "left_anti").withColumn("best", F.lit(0.0)))
-    full = best.join(elements.select("key"), "key", "left_semi").join(fix, "key", "left")
-    full = full.select(query_key, "key", F.round(F.col("best") + BETA * F.coalesce("fix", F.lit(0.0)), 9).alias("score")).where("score > 0")
-    return ranked(full, query_key, [F.desc("score"), F.asc("key")], depth)
+    # an element that is in one of the hunks and missed the list gets less here, so it misses it again
+    more = more.join(best, [query_key, "key"], "left_anti").join(fix, "key").select(query_key, "key", F.round(BETA * F.col("fix"), 9).alias("score")).where("score > 0")
+    return ranked(best.unionByName(more), query_key, [F.desc("score"), F.asc("key")], depth)
 
 
 def time_bins(units: DataFrame, group: str, seconds: int = 60 * 86400) -> DataFrame:

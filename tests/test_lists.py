@@ -99,3 +99,25 @@ def test_elements_by_commits_have_the_places_of_the_whole_list(spark):
     assert listed(history.message_rank(asked, fit, near, elements, "n", 6), "n", "key") == sorted(want)
     some = history.commit_scores(asked, fit, near, "n", 6, elements, far=0)  # every element's best where the list goes deep
     assert {(x.n, x.h) for x in some.where("best is not null").collect()} == {(n, h) for n in range(5) for h in touch if any((n, k) in listed_ for k in touch[h])}
+
+
+def test_greatest_of_the_rows_of_a_key_however_cells_are_cut(spark):
+    r = random.Random(6)
+    rows = [(f"r{d}", f"t{r.randrange(12)}", r.random()) for d in range(40) for _ in range(4)]
+    asked = [(n, f"t{r.randrange(12)}", 1.0) for n in range(4) for _ in range(4)]
+    belongs = sorted({(f"r{d}", f"k{int(r.random() ** 2 * 15)}") for d in range(40) for _ in range(3)})
+    plus = {f"k{i}": i / 50 for i in range(15)}
+    dot, best = {}, {}
+    for n, t, x in asked:
+        for d, u, y in rows:
+            if t == u:
+                dot[n, d] = dot.get((n, d), 0.0) + x * y
+    for (n, d), s in dot.items():
+        for e, k in belongs:
+            if e == d:
+                best[n, k] = max(best.get((n, k), 0.0), s + plus[k])
+    want = sorted((n, k) for n in range(4) for k in sorted((k for m, k in best if m == n), key=lambda k: (-round(best[n, k], 9), k))[:5])
+    a, b = spark.createDataFrame(asked, "n int, term string, w double"), spark.createDataFrame(rows, "r string, term string, w double")
+    own = spark.createDataFrame([(d, k, 1.0, plus[k]) for d, k in belongs], "r string, key string, size double, plus double")
+    for cell, hot in ((10_000, 1_000), (20, 1_000), (60, 3)):
+        assert listed(blocks.gathered(a, b, own, "n", "r", "key", "max", 5, cell=cell, hot=hot), "n", "key") == want

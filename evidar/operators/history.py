@@ -80,23 +80,35 @@ def commit_scores(queries: DataFrame, fit: DataFrame, listed: DataFrame, query_k
     the ``depth`` best commits can come from, or with ``elements`` (key) the best of each of
     the elements that the ``depth`` best elements can come from.  Their places are in the whole list.
     """
+    scored, fit, _, _ = _scored(queries, fit, listed, query_key, depth, elements, terms, far)
+    return scored.join(fit.select("o", "h", "t"), "o").select(query_key, "h", "t", "cos", "best", "s")
+
+
+def _scored(queries: DataFrame, fit: DataFrame, listed: DataFrame, query_key: str, depth: int, elements: DataFrame | None, terms, far: int = FAR) -> tuple[DataFrame, DataFrame, DataFrame | None, DataFrame | None]:
+    """(query, o, cos, best, s) and what the numbers mean: the commits with theirs (o), their elements (o, e), and the elements (key, e), by number as by key."""
     # o numbers the commits so that ties go by it
-    fit = stored(fit.orderBy(F.desc_nulls_last("t"), F.asc("h")).withColumn("o", F.monotonically_increasing_id()))
+    text = "text" if "text" in fit.columns else "msg"
+    fit = stored(fit.select("h", "t", text, "touch").orderBy(F.desc_nulls_last("t"), F.asc("h")).withColumn("o", F.monotonically_increasing_id()))
     touched = fit.select("o", F.explode("touch").alias("key")).distinct()
     near = touched.join(listed.select(query_key, "key", "rank"), "key").groupBy(query_key, "o").agg(F.min("rank").cast("bigint").alias("best"))
     near = durable(ranked(near, query_key, [F.asc("best"), F.asc("o")], out="near"))
     asked, docs, _ = _weighed(queries, fit, query_key, "o", terms)
     asked, docs = durable(blocks.packed(asked, query_key)), stored(blocks.packed(docs, "o"))
-    own = None if elements is None else durable(touched.join(elements.select("key"), "key", "left_semi"))
+    own = names = None
+    if elements is not None:
+        names = stored(touched.join(elements.select("key"), "key", "left_semi").select("key").distinct().orderBy("key").withColumn("e", F.monotonically_increasing_id()))
+        own = stored(touched.join(names, "key").select("o", "e"))
     first = [F.desc("score"), F.asc("o")]
 
     def head(asked: DataFrame, depth: int | None) -> DataFrame:
         """(query, o, score, lead): of the commits in the list by text those that count, with their cosines."""
-        found = durable(blocks.leading(asked, docs, near.select(query_key, "o"), query_key, "o", depth, own))
+        belongs = None if own is None else own.withColumnRenamed("e", "key")
+        found = blocks.leading(asked, docs, near.select(query_key, "o"), query_key, "o", depth, belongs)
         if own is None:
             lead = ranked(found, query_key, first, depth).select(query_key, "o")
         else:
-            keyed = ranked(ranked(found.join(own, "o"), [query_key, "key"], first, 1), query_key, [*first, F.asc("key")], depth)
+            pairs = found.join(own, "o").select(query_key, "o", "score", "e").repartition(F.col(query_key))
+            keyed = ranked(ranked(pairs, [query_key, "e"], first, 1), query_key, [*first, F.asc("e")], depth)
             lead = keyed.select(query_key, "o").distinct()
         some = found.join(lead.withColumn("lead", F.lit(True)), [query_key, "o"], "left")
         some = durable(some.join(near.select(query_key, "o", "best"), [query_key, "o"], "left").where("lead or best is not null").select(query_key, "o", "score", "lead"))
@@ -110,15 +122,15 @@ def commit_scores(queries: DataFrame, fit: DataFrame, listed: DataFrame, query_k
     none = F.lit(None)
     both = text.select(query_key, "o", F.col("score").alias("cos"), none.cast("bigint").alias("best"), "rank").unionByName(near.select(query_key, "o", F.lit(0.0).alias("cos"), "best", F.col("near").cast("bigint").alias("rank")))
     scored = both.groupBy(query_key, "o").agg(F.max("cos").alias("cos"), F.max("best").alias("best"), F.sum(1.0 / (RRF_K + F.col("rank"))).alias("s"))
-    return scored.join(fit.select("o", "h", "t"), "o").select(query_key, "h", "t", "cos", "best", "s")
+    return scored, fit, own, names
 
 
 def message_rank(queries: DataFrame, units: DataFrame, listed: DataFrame, elements: DataFrame, query_key: str, depth: int = DEPTH, terms=index.tokenize_code) -> DataFrame:
     """(query, key, score, rank): elements by their best commit, of those ``eligible`` lets through."""
-    fit = stored(units.join(eligible(units, elements).select("h"), "h", "left_semi"))
-    scored = commit_scores(queries, fit, listed, query_key, depth, elements, terms)
-    best = scored.join(touches(fit).select("h", "key"), "h").join(elements.select("key"), "key", "left_semi").groupBy(query_key, "key").agg(F.round(F.max("s"), 9).alias("score"))
-    return ranked(best, query_key, [F.desc("score"), F.asc("key")], depth)
+    fit = units.join(eligible(units, elements).select("h"), "h", "left_semi")
+    scored, _, own, names = _scored(queries, fit, listed, query_key, depth, elements, terms)
+    best = scored.select(query_key, "o", "s").join(own, "o").groupBy(query_key, "e").agg(F.round(F.max("s"), 9).alias("score"))
+    return ranked(best, query_key, [F.desc("score"), F.asc("e")], depth).join(names, "e").select(query_key, "key", "score", "rank")
 
 
 def message_pool(queries: DataFrame, units: DataFrame, listed: DataFrame, elements: DataFrame, query_key: str, size: int = 10, terms=index.tokenize_code) -> DataFrame:

@@ -101,6 +101,35 @@ def test_elements_by_commits_have_the_places_of_the_whole_list(spark):
     assert {(x.n, x.h) for x in some.where("best is not null").collect()} == {(n, h) for n in range(5) for h in touch if any((n, k) in listed_ for k in touch[h])}
 
 
+@pytest.mark.parametrize("keyed", [False, True])
+def test_cells_send_on_little_more_than_what_leads_the_list(spark, monkeypatch, keyed):
+    r = random.Random(3)
+    rows = [(d, f"t{t}", float(r.randrange(1, 50))) for d in range(400) for t in r.sample(range(12), 5)]
+    asked = [(n, f"t{t}", 1.0) for n in range(4) for t in r.sample(range(12), 4)]
+    belongs = [(d, d // 2 if keyed else d) for d in range(400)]
+    dot = {}
+    for n, t, x in asked:
+        for d, u, y in rows:
+            if t == u:
+                dot[n, d] = dot.get((n, d), 0.0) + x * y
+    want = set()
+    for n in range(4):
+        seen = {}
+        for d in sorted((d for m, d in dot if m == n), key=lambda d: (-dot[n, d], d)):
+            seen.setdefault(belongs[d][1], d)
+        want |= {(n, d) for d in list(seen.values())[:40]}
+    named = {(n, d) for n in range(4) for d in range(n, 400, 9) if (n, d) in dot}
+    a, b = blocks.packed(spark.createDataFrame(asked, "n int, term string, w double"), "n"), blocks.packed(spark.createDataFrame(rows, "d bigint, term string, w double"), "d")
+    own = spark.createDataFrame(belongs, "d bigint, key bigint") if keyed else None
+    monkeypatch.setattr(blocks, "SLICE", 2)
+    got = blocks.leading(a, b, spark.createDataFrame(sorted(named), "n int, d bigint"), "n", "d", 40, own, cell=250).collect()
+    assert {(x.n, x.d): x.score for x in got}.items() <= dot.items() and want | named <= {(x.n, x.d) for x in got}
+    assert len(got) - len(named) < 4 * 250  # eight cells have 8 * 40 among their first 40
+    given = spark.createDataFrame([(n, d, dot[n, d]) for n, d in sorted(named)], "n int, d bigint, score double")
+    places = blocks.places(a, b, given, "n", "d", cell=250).collect()
+    assert {(x.n, x.d): x["rank"] for x in places} == {(n, d): 1 + sum((-s, e) < (-dot[n, d], d) for (m, e), s in dot.items() if m == n) for n, d in named}
+
+
 def test_greatest_of_the_rows_of_a_key_however_cells_are_cut(spark):
     r = random.Random(6)
     rows = [(f"r{d}", f"t{r.randrange(12)}", r.random()) for d in range(40) for _ in range(4)]

@@ -168,6 +168,9 @@ def locus(queries: DataFrame, hunks: DataFrame, units: DataFrame, names: DataFra
     terms from a text.  An element with fixes only is ranked too; scores of 0 aren't.
     """
     count = hunks.count()
+    # hunks and elements go as numbers, those of elements in the order of their keys, so that ties go by them
+    numbers = stored(hunks.select("hunk").distinct().withColumn("o", F.monotonically_increasing_id()))
+    hunks = stored(hunks.join(numbers, "hunk").select("o", "ids", "text"))
     # words and names of code are terms of two kinds in one index, each kind with rows of unit length; so
     # one product gives the sum of both sides
     marked = lambda kind, own: F.transform(own, lambda w: F.concat(F.lit(kind), w))
@@ -178,24 +181,30 @@ def locus(queries: DataFrame, hunks: DataFrame, units: DataFrame, names: DataFra
         found = index.postings(rows, [key], F.col("text"), both).join(known, "term", "left").where(F.col("known") | F.col("term").startswith("n:"))
         return stored(found.select(key, F.substring("term", 1, 1).alias("side"), "term", "tf"))
 
-    post, asked = sided(hunks, "hunk"), sided(queries, query_key)
+    post, asked = sided(hunks, "o"), sided(queries, query_key)
     df = index.frequencies(post)
     total = queries.select(query_key, F.size(index.tokenize_code(F.col("text"))).alias("tokens"))
     alpha = total.join(asked.where("side = 'c'").groupBy(query_key).agg(F.sum("tf").alias("names")), query_key, "left").select(
         query_key, F.least(F.lit(1.0), LAMBDA * F.coalesce("names", F.lit(0)) / F.greatest(F.lit(1), "tokens")).alias("alpha")
     )
     weighed = index.tfidf(asked, df, [query_key, "side"], count).join(alpha, query_key).select(query_key, "term", (F.col("w") * F.when(F.col("side") == "c", F.col("alpha")).otherwise(1.0)).alias("w"))
-    fix = durable(fix_recency(units, at))
-    belongs = hunks.select("hunk", F.explode("ids").alias("key")).distinct().join(elements.select("key"), "key", "left_semi").join(fix, "key", "left")
-    belongs = belongs.select("hunk", "key", F.lit(1.0).alias("size"), (BETA * F.coalesce("fix", F.lit(0.0))).alias("plus"))
-    best = durable(blocks.gathered(weighed, index.tfidf(post, df, ["hunk", "side"], count), belongs, query_key, "hunk", "key", "max", depth))
+    fix = durable(fix_recency(units, at).join(elements.select("key"), "key", "left_semi"))
+    told = hunks.select("o", F.explode("ids").alias("key")).distinct().join(elements.select("key"), "key", "left_semi")
+    keys = stored(told.select("key").union(fix.select("key")).distinct().orderBy("key").withColumn("e", F.monotonically_increasing_id()))
+    fix = durable(fix.join(keys, "key").select("e", "fix"))
+    belongs = told.join(keys, "key").join(fix, "e", "left").select("o", "e", F.lit(1.0).alias("size"), (BETA * F.coalesce("fix", F.lit(0.0))).alias("plus"))
+    best = durable(blocks.gathered(weighed, index.tfidf(post, df, ["o", "side"], count), belongs, query_key, "o", "e", "max", depth))
     # of elements with fixes only, no more than depth can be in a list: the best 2 * depth suffice
-    top = ranked(fix.join(elements.select("key"), "key", "left_semi").withColumn("one", F.lit(1)), "one", [F.desc("fix"), F.asc("key")], 2 * depth)
-    spare = top.groupBy("one").agg(F.collect_list("key").alias("keys"))  # one row that holds 2 * depth keys
-    more = queries.select(query_key).distinct().withColumn("one", F.lit(1)).join(spare, "one").select(query_key, F.explode("keys").alias("key"))
+    top = ranked(fix.withColumn("one", F.lit(1)), "one", [F.desc("fix"), F.asc("e")], 2 * depth).select("one", "e", F.round(BETA * F.col("fix"), 9).alias("score")).where("score > 0")
+    spare = top.groupBy("one").agg(F.collect_list(F.struct("e", "score")).alias("spare"))  # one row that holds 2 * depth keys
+    # of a full list the last is a floor for them
+    floor = best.groupBy(query_key).agg(F.count("*").alias("held"), F.min("score").alias("floor")).where(F.col("held") >= depth).select(query_key, "floor")
+    more = queries.select(query_key).distinct().join(floor, query_key, "left").withColumn("one", F.lit(1)).join(spare, "one")
+    more = more.select(query_key, "floor", F.explode("spare").alias("x")).select(query_key, "floor", "x.*").where("floor is null or score >= floor").drop("floor")
     # an element that is in one of the hunks and missed the list gets less here, so it misses it again
-    more = more.join(best, [query_key, "key"], "left_anti").join(fix, "key").select(query_key, "key", F.round(BETA * F.col("fix"), 9).alias("score")).where("score > 0")
-    return ranked(best.unionByName(more), query_key, [F.desc("score"), F.asc("key")], depth)
+    more = more.join(best, [query_key, "e"], "left_anti")
+    found = ranked(best.unionByName(more), query_key, [F.desc("score"), F.asc("e")], depth)
+    return found.join(keys, "e").select(query_key, "key", "score", "rank")
 
 
 def time_bins(units: DataFrame, group: str, seconds: int = 60 * 86400) -> DataFrame:

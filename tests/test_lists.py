@@ -150,3 +150,15 @@ def test_greatest_of_the_rows_of_a_key_however_cells_are_cut(spark):
     own = spark.createDataFrame([(d, k, 1.0, plus[k]) for d, k in belongs], "r string, key string, size double, plus double")
     for cell, hot in ((10_000, 1_000), (20, 1_000), (60, 3)):
         assert listed(blocks.gathered(a, b, own, "n", "r", "key", "max", 5, cell=cell, hot=hot), "n", "key") == want
+
+
+def test_hunks_and_elements_go_through_the_cells_as_numbers(spark, monkeypatch):
+    kinds, gathered = [], blocks.gathered
+    monkeypatch.setattr(blocks, "gathered", lambda a, rows, own, *x, **k: kinds.append((dict(rows.dtypes)["o"], dict(own.dtypes)["e"])) or gathered(a, rows, own, *x, **k))
+    hunks = spark.createDataFrame([("b", ["k2", "k1"], "red fish"), ("a", ["k3"], "blue fish"), ("c", ["gone"], "red")], "hunk string, ids array<string>, text string")
+    units = spark.createDataFrame([("u", 5, "fix", ["k4", "gone"])], "h string, t bigint, msg string, touch array<string>")
+    elements, names = spark.createDataFrame([(f"k{i}",) for i in range(1, 6)], "key string"), spark.createDataFrame([("none",)], "term string")
+    none = lambda t: F.array().cast("array<string>")
+    got = history.locus(spark.createDataFrame([(1, "red")], "n int, text string"), hunks, units, names, elements, "n", lambda t: F.split(t, " "), none, 3)
+    assert got.columns == ["n", "key", "score", "rank"] and [(x.key, x["rank"]) for x in got.orderBy("rank").collect()] == [("k1", 1), ("k2", 2), ("k4", 3)]
+    assert kinds == [("bigint", "bigint")]

@@ -86,6 +86,7 @@ def commit_scores(queries: DataFrame, fit: DataFrame, listed: DataFrame, query_k
 
 def _scored(queries: DataFrame, fit: DataFrame, listed: DataFrame, query_key: str, depth: int, elements: DataFrame | None, terms, far: int = FAR) -> tuple[DataFrame, DataFrame, DataFrame | None, DataFrame | None]:
     """(query, o, cos, best, s) and what the numbers mean: the commits with theirs (o), their elements (o, e), and the elements (key, e), by number as by key."""
+    blocks.ready(fit.sparkSession)
     # o numbers the commits so that ties go by it
     text = "text" if "text" in fit.columns else "msg"
     fit = stored(fit.select("h", "t", text, "touch").orderBy(F.desc_nulls_last("t"), F.asc("h")).withColumn("o", F.monotonically_increasing_id()))

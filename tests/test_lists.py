@@ -162,3 +162,32 @@ def test_hunks_and_elements_go_through_the_cells_as_numbers(spark, monkeypatch):
     got = history.locus(spark.createDataFrame([(1, "red")], "n int, text string"), hunks, units, names, elements, "n", lambda t: F.split(t, " "), none, 3)
     assert got.columns == ["n", "key", "score", "rank"] and [(x.key, x["rank"]) for x in got.orderBy("rank").collect()] == [("k1", 1), ("k2", 2), ("k4", 3)]
     assert kinds == [("bigint", "bigint")]
+
+
+def test_rows_are_not_looked_up_one_by_one_where_adding_up_all_is_faster(monkeypatch):
+    r = random.Random(2)
+    rows = sorted((d, t, float(r.randrange(1, 9))) for d in range(300) for t in r.sample(range(40), 8))
+    post = [(d, [t for e, t, _ in rows if e == d], [w for e, _, w in rows if e == d]) for d in range(300)]
+    table = blocks.pa.table({"r": blocks.pa.array([p[0] for p in post]), "h": blocks.pa.array([p[1] for p in post]), "w": blocks.pa.array([p[2] for p in post]), "x": blocks.pa.nulls(300, blocks.pa.float64())})
+    cell = blocks._cell([table])
+    terms, weights = blocks.np.arange(0, 40, 2), blocks.np.ones(20)
+    row, s = cell.scores(terms, weights, 0.0)
+    want = {int(d): x for d, x in zip(row, s) if x >= 25}
+    monkeypatch.setattr(blocks.np, "searchsorted", None)
+    row, s = cell.scores(terms, weights, 25.0)
+    assert want and {int(d): x for d, x in zip(row, s) if x >= 25} == want
+
+
+def test_python_is_started_before_the_executors_have_grown(spark, monkeypatch):
+    done, ready, stored = [], blocks.ready, history.stored
+    monkeypatch.setattr(blocks, "ready", lambda session: done.append("ready") or ready(session))
+    monkeypatch.setattr(history, "stored", lambda df: done.append("stored") or stored(df))
+    fit = spark.createDataFrame([("a", 1, "red fish", ["k"]), ("b", 2, "blue", ["k", "m"])], "h string, t bigint, msg string, touch array<string>")
+    near = spark.createDataFrame([(1, "m", 1)], "n int, key string, rank int")
+    got = history.message_rank(spark.createDataFrame([(1, "red")], "n int, text string"), fit, near, fit.select(F.explode("touch").alias("key")).distinct(), "n", 5)
+    assert [x.key for x in got.orderBy("rank").collect()] == ["k", "m"] and done[:2] == ["ready", "stored"]
+
+
+def test_cells_of_commits_leave_no_core_idle_in_the_last_round(spark):
+    cores = spark.sparkContext.defaultParallelism
+    assert [blocks._rounds(spark.range(1), n) for n in (1, cores, cores + 1, 2 * cores + 1)] == [1, cores, 2 * cores, 3 * cores]
